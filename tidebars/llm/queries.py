@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidebars.llm import chat, html_text, licences, mixing, packing, quality, token_files
+from tidebars.llm import chat, html_text, jaccard, licences, mixing, neighbours, packing, quality, substring, token_files
 from tidebars.llm.store import new_path
 
 PACK_END, FILE_END = 2, 1
@@ -43,6 +43,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.report(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), FILE_END, path)
@@ -57,14 +65,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_html": op2_html,
     "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
+    "op5_jaccard": op5_jaccard,
+    "op6_substring": op6_substring,
     "op7_token_files": op7_token_files,
     "op8_licences": op8_licences,
     "op9_quality": op9_quality,
+    "op10_neighbours": op10_neighbours,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -141,4 +156,26 @@ FROM d JOIN grouped USING (source, lang, topic) JOIN p USING ({groups})
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": CHAT_SQL, "op4_mixing": mixing_sql(), "op9_quality": QUALITY_SQL}
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(text=f"translate(text, '{quality.UPPER}', '{quality.LOWER}')")} AS w FROM documents),
+s AS (SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {jaccard.K} THEN [w] ELSE list_transform(range(1, len(w) - {jaccard.K - 2}), lambda i: w[i:i + {jaccard.K - 1}]) END) AS g FROM d),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+i AS (SELECT a.rid AS x, b.rid AS y, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM i JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * i.n >= {jaccard.PERCENT} * (nx.n + ny.n - i.n)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, e.y FROM r JOIN e ON e.x = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, CAST(min(o.doc_id) AS BIGINT) AS component_id
+FROM r JOIN d USING (rid) JOIN d o ON o.rid = r.other LEFT JOIN n ON n.rid = d.rid GROUP BY d.rid, d.doc_id, n.n
+"""
+
+SUBSTRING_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(text="text")} AS w FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - {substring.WIDTH - 2})) AS i, w FROM d WHERE len(w) >= {substring.WIDTH}),
+h AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w[i:i + {substring.WIDTH - 1}]) AS first FROM g),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substring.WIDTH})) AS p FROM h WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_chat": CHAT_SQL, "op4_mixing": mixing_sql(), "op5_jaccard": JACCARD_SQL, "op6_substring": SUBSTRING_SQL, "op9_quality": QUALITY_SQL}
