@@ -11,10 +11,10 @@ the first n - ceil(t n) + 1 of each. The order is by the document frequency of t
 of a fixed number of counters), then by hash, so what a passage of many documents brings comes last and rarely
 deals anything. Texts of one set are one point throughout.
 
-How large groups of near copies stay cheap. Every dealt list first gives each set one nearby set of at most its size to be
-compared with; a tree over all sets that chose the same one answers it, the survivors are verified, and the links make
-components. Then the lists of three or more sets are searched in full, but only for pairs in different components.
-Together every dealt pair is either verified or joined already, and no list is expanded into all its pairs.
+How large groups of near copies stay cheap. Each set is first compared with one other of at most its size, the one that
+came first in most of the lists it was dealt to; a tree over all sets with the same choice answers it, the survivors
+are verified, and the links make components. Then all lists are searched in full, but only for pairs in different
+components. Together every dealt pair is either verified or joined already, and no list is expanded into all its pairs.
 
 Defined results: a text without words (null, empty) has no shingles and its own component; a row without doc_id takes no part
 and has a null component; rows that repeat a doc_id give a row each; an empty table gives no rows; columns other than
@@ -37,7 +37,7 @@ from tidebars.llm.store import materialize, shuffle_partitions
 K, PERCENT = 5, 75
 #: Counters of the document frequency table.
 FREQUENCY_BITS = 16
-#: Least number of groups of a count vector; more for larger sets, about half a shingle a group.
+#: Least number of groups of a count vector; more for larger sets, two to four shingles a group.
 GROUPS = 64
 LEAF, FANOUT = 16, 8
 #: Members of a tree; a list with more is dealt in blocks, every two of which meet.
@@ -52,7 +52,7 @@ def required(na: int, nb: int, percent: int) -> int:
 
 
 def n_groups(n: int) -> int:
-    return max(GROUPS, 1 << max(0, n // 2 - 1).bit_length())
+    return max(GROUPS, 1 << max(0, n // 4 - 1).bit_length())
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
@@ -66,6 +66,15 @@ def fold(vector: np.ndarray, groups: int) -> np.ndarray:
     return vector if vector.shape[-1] == groups else vector.reshape(*vector.shape[:-1], -1, groups).sum(axis=-2, dtype=np.int32)
 
 
+def pack_vector(vector: np.ndarray) -> bytes:
+    """One byte a group, or two where a count needs them."""
+    return (vector.astype(np.uint8) if not len(vector) or vector.max() < 256 else vector).tobytes()
+
+
+def unpack_vector(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if len(data) == n_groups(n) else np.uint16)
+
+
 class CountVectorTree:
     """Points (count vectors of one length) and set sizes, packed bottom-up into nodes of coordinate maxima."""
 
@@ -206,7 +215,8 @@ def deal(docs: DataFrame, ranks: np.ndarray, parts: int, k: int, percent: int) -
 
 
 def lists(dealt: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Of each part: pairs (a, na, b, nb) to be compared first, with list null; and the members (b, nb) of lists of three or more."""
+    """Of each part: pairs (a, na, b, nb) of a list's first set and another, with list null and how many lists have them as
+    votes; and the members (b, nb) of lists of three or more."""
 
     def run(batches):
         got = [[], [], [], []]
@@ -245,18 +255,18 @@ def lists(dealt: DataFrame, parts: int, percent: int) -> DataFrame:
                 hub[w] = first
         pair = hub != member
         a, b = hub[pair], member[pair]
-        _, once = np.unique(mix(sets[a].astype(np.uint64)) + sets[b].astype(np.uint64), return_index=True)
+        _, once, votes = np.unique(mix(sets[a].astype(np.uint64)) + sets[b].astype(np.uint64), return_index=True, return_counts=True)
         a, b = a[once], b[once]
-        schema = ["list", "a", "na", "b", "nb"]
+        schema = ["list", "a", "na", "b", "nb", "votes"]
         for lo in range(0, len(a), 100_000):
             x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x]), pa.array(sets[y]), pa.array(sizes[y])], names=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x]), pa.array(sets[y]), pa.array(sizes[y]), pa.array(votes[lo : lo + 100_000])], names=schema)
         many = member[np.repeat(length > 2, length)]
         for lo in range(0, len(many), 100_000):
             x = many[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[x].astype(np.int64)), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x])], names=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[x].astype(np.int64)), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x]), pa.nulls(len(x), pa.int64())], names=schema)
 
-    return dealt.repartitionById(parts, F.col("part")).mapInArrow(run, "list long, a long, na long, b long, nb long")
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(run, "list long, a long, na long, b long, nb long, votes long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -337,7 +347,7 @@ def search_lists(members: DataFrame, percent: int) -> DataFrame:
             if b - a < 2 or len(np.unique(component[at])) < 2:
                 continue
             sides = np.where(side[at] == block_i[at], 1, 2) if block_i[at[0]] != block_j[at[0]] else np.zeros(b - a, int)
-            points = [np.frombuffer(vectors[i], np.uint16) for i in at]
+            points = [unpack_vector(vectors[i], int(n[i])) for i in at]
             for x, y in tree_pairs(points, n[at], component[at], sides, percent):
                 p, q = int(own[at[x]]), int(own[at[y]])
                 found.add((min(p, q), max(p, q)))
@@ -360,7 +370,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 if len(s) and _set_id(s) == wants[i]:
                     keep.append(i)
                     sizes.append(len(s))
-                    vectors.append(count_vector(s).tobytes())
+                    vectors.append(pack_vector(count_vector(s)))
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(sizes, pa.int64()), batch.column(1).take(at), pa.array(vectors, pa.binary())], names=["set", "n", "text", "vector"])
 
@@ -377,20 +387,24 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     parts = max(shuffle_partitions(spark), int(total * (100 - percent) / 100 / PART_TOKENS) + 1)
     dealt = deal(docs.where("doc_id IS NOT NULL"), frequency_ranks(described), parts, k, percent)
     found = materialize(lists(dealt, parts, percent), "lists")
-    pairs = found.where("list IS NULL")
+    pairs = materialize(found.where("list IS NULL").groupBy("a", "b").agg(F.sum("votes").alias("votes")), "pairs")
     members = found.where("list IS NOT NULL").select("list", F.col("b").alias("set"), F.col("nb").alias("n"))
 
     first = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(members.select("set")).distinct().join(first, "set")
     texts = materialize(_texts(docs, wanted, k), "candidates")
 
-    links = materialize(verified(pairs, texts, k, percent), "links")
+    chosen = pairs.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a")).select("a", "b")
+    links = materialize(verified(chosen, texts, k, percent), "links")
     near = materialize(components(links), "components").withColumnRenamed("node", "set")
 
+    label = lambda side: near.select(F.col("set").alias(side), F.col("component").alias(f"{side}_component"))
+    apart = pairs.join(chosen, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    apart = apart.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
     own = members.join(near, "set", "left").withColumn("component", F.coalesce("component", "set"))
     several = own.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    own = own.join(several, "list").join(texts.select("set", "vector"), "set")
-    more = materialize(search_lists(own, percent), "pairs").distinct()
+    own = materialize(own.join(several, "list"), "members").join(texts.select("set", "vector"), "set")
+    more = materialize(search_lists(own, percent).union(apart).distinct(), "pairs")
     links = materialize(links.union(verified(more, texts, k, percent)), "links")
     near = components(links).withColumnRenamed("node", "set")
 
