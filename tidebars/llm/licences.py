@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebars.llm.arrow_text import PUNCTUATION, chunks, ngram_hashes, word_bounds, word_hashes
-from tidebars.llm.store import materialize
+from tidebars.llm.store import materialize, small_batches
 
 #: Base phrases and labels; fixed values of the contract.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -115,6 +115,7 @@ def spans(spark: SparkSession, hits: DataFrame) -> DataFrame:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = materialize(grams(docs), "grams")
     hits = rows.where(F.size("hits") > 0).select("row", F.explode("hits").alias("x")).select("row", "x.*")
     found = spans(spark, hits)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.llm.store import materialize, shuffle_partitions
+from tidebars.llm.store import materialize, shuffle_partitions, small_batches
 
 #: Neighbours a node keeps, nodes a search holds, entry vectors.
 DEGREE, BEAM, ENTRIES = 24, 96, 8
@@ -166,6 +166,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other vectors found of every row that is_query (over vec_id) picks."""
+    small_batches(vectors.sparkSession)
     rows = materialize(usable(vectors).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}), "vectors")
     nodes = materialize(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.first("v").alias("v")), "nodes")
     graph = build_graph(nodes.select("node", "v"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.llm.store import materialize
+from tidebars.llm.store import materialize, small_batches
 from tidebars.llm.tokens import encoded
 
 _PIECE = "part int, size int, rank long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -90,6 +90,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cut = materialize(rows.mapInArrow(pieces, _PIECE + (", ids binary" if with_ids else "")), "pieces")
 

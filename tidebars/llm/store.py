@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,5 +41,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between Spark and Python, so that a few long texts don't make a large one.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Keep Arrow batches to 4 MB or the session's smaller bound, in the JVM's off-heap memory and in Python alike."""
+    now = re.sub(r"\D", "", spark.conf.get(BATCH, None) or "")
+    if not now or int(now) > most:
+        spark.conf.set(BATCH, str(most))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

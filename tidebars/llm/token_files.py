@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebars.llm.store import materialize
+from tidebars.llm.store import materialize, small_batches
 from tidebars.llm.tokens import encoded
 
 MAGIC = b"TBEF0001"
@@ -151,6 +151,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None,
         if names:
             yield flush()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     # the hash splits a doc_id that holds very many rows over several ranges

@@ -17,7 +17,7 @@ import pyarrow as pa
 from tidebars.llm.arrow_text import chunks, word_bounds, word_hashes
 
 #: Entries of the cache before it starts anew.
-CACHE = 1_500_000
+CACHE = 500_000
 _tokenizers: dict = {}
 
 
@@ -47,8 +47,8 @@ class WordTokenizer:
         return all(self._plain(t) == [x for w in t.encode().lower().split() for x in self._plain(w.decode())] for t in probes)
 
     def _clear(self) -> None:
-        self.keys = np.zeros(1 << 22, np.uint64)
-        self.entry = np.zeros(1 << 22, np.int32)
+        self.keys = np.zeros(1 << 21, np.uint64)
+        self.entry = np.zeros(1 << 21, np.int32)
         self.known = 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 15, np.int64)
