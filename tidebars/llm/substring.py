@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.arrow_text import U64, chunks, mix, ngram_hashes, word_bounds, word_hashes
-from tidebars.llm.store import materialize, shuffle_partitions
+from tidebars.llm.store import materialize, shuffle_partitions, small_batches
 
 WIDTH = 13
 #: Windows handled at a time by a task that sends them.
-RUN_WINDOWS = 1_000_000
+RUN_WINDOWS = 500_000
 #: Words of an automaton, and documents that share one copy of a shard.
 SHARD_WORDS, STREAMED = 60_000, 500
 
@@ -188,13 +188,29 @@ def requests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             again = o != least
             if again.any():
                 found.append(np.stack([o[again], least[again]]))
+        if found:
+            # a pair turns up in many parts: pairs leave packed, by document, and are made distinct where they arrive
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            to = (mix(pairs[0].astype(np.uint64)) % U64(parts)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            to, pairs = to[order], pairs[:, order]
+            at = np.flatnonzero(np.diff(to, prepend=-1))
+            rows = [(int(to[x]), pairs[0, x:y].tobytes(), pairs[1, x:y].tobytes()) for x, y in zip(at.tolist(), [*at[1:].tolist(), len(to)], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["part", "docs", "refs"])
+
+    def distinct(batches):
+        found = []
+        for batch in batches:
+            for docs_, refs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found.append(np.stack([np.frombuffer(docs_, np.int64), np.frombuffer(refs, np.int64)]))
         if found:
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             for lo in range(0, pairs.shape[1], 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0, lo : lo + 100_000]), pa.array(pairs[1, lo : lo + 100_000])], names=["doc_id", "ref"])
 
     sent = _send(docs, parts, width).repartitionById(parts, F.col("part"))
-    return sent.mapInArrow(run, "doc_id long, ref long").distinct()
+    pairs = sent.mapInArrow(run, "part int, docs binary, refs binary").repartitionById(parts, F.col("part"))
+    return pairs.mapInArrow(distinct, "doc_id long, ref long")
 
 
 def _words(text: pa.Array) -> Iterator[list[int]]:
@@ -249,17 +265,19 @@ def spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.table({"doc_id": pa.array(own[at], pa.int64()), "h": pa.array(h[at], pa.int64()), "spans": pa.array(lists, pa.list_(pa.int64()))})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = roles.join(texts, "doc_id").select("shard", "copy", "kind", "doc_id", "h", "text")
+    # both sides grow with the corpus: merged at any size, never broadcast
+    rows = roles.hint("merge").join(texts, "doc_id").select("shard", "copy", "kind", "doc_id", "h", "text")
     found = rows.groupBy("shard", "copy").applyInArrow(run, "doc_id long, h long, spans array<long>")
     return materialize(found.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
 def clean(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Every row with all its columns, text being its kept words with one space between; and n_words, n_removed, kept_sha256."""
+    small_batches(docs.sparkSession)
     removed = spans(docs, width).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
     rest = [c for c in docs.columns if c != "text"]
     rows = docs.withColumn("text", F.col("text").cast("string"))
-    rows = rows.join(removed, (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_h")), "left").select(*[F.col(f"`{c}`") for c in rest], "text", F.col("spans").alias("_spans"))
+    rows = rows.join(removed.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_h")), "left").select(*[F.col(f"`{c}`") for c in rest], "text", F.col("spans").alias("_spans"))
     added = ("text", "n_words", "n_removed", "kept_sha256")
 
     def run(batches):
