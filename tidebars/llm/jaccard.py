@@ -7,13 +7,14 @@ whose bound can't reach the threshold; what is left is verified on the sets them
 
 Which points share a tree. One tree over a corpus doesn't exist on a cluster, so points are dealt to many small
 trees, without losing a pair: with all shingles in one fixed order, two sets at the threshold share a shingle among
-the first n - ceil(t n) + 1 of each. The order is by the document frequency of the shingle's frequency group (a table
+the first n - ceil(t n) + 1 of each (of the smaller, n - ceil(2 t n / (1 + t)) + 1 suffice). The order is by the document frequency of the shingle's frequency group (a table
 of a fixed number of counters), then by hash, so what a passage of many documents brings comes last and rarely
 deals anything. Texts of one set are one point throughout.
 
-How large groups of near copies stay cheap. Each set is first compared with one other of at most its size, the one that
-came first in most of the lists it was dealt to; a tree over all sets with the same choice answers it, the survivors
-are verified, and the links make components. Then all lists are searched in full, but only for pairs in different
+How large groups of near copies stay cheap. In each list the set with the commonest shingles, which in a group of copies
+is the one changed least, stands for the list. Each set is first compared with the one that does so in most of its
+lists; a tree over all sets with the same choice answers it, the survivors are verified, and the links make
+components. Then all lists are searched in full, but only for pairs in different
 components. Together every dealt pair is either verified or joined already, and no list is expanded into all its pairs.
 
 Defined results: a text without words (null, empty) has no shingles and its own component; a row without doc_id takes no part
@@ -32,18 +33,18 @@ from pyspark.sql import functions as F
 
 from tidebars.llm.arrow_text import U64, mix, shingle_sets
 from tidebars.llm.graph import components
-from tidebars.llm.store import materialize, shuffle_partitions
+from tidebars.llm.store import materialize, shuffle_partitions, small_batches
 
 K, PERCENT = 5, 75
 #: Counters of the document frequency table.
 FREQUENCY_BITS = 16
-#: Least number of groups of a count vector; more for larger sets, two to four shingles a group.
+#: Least number of groups of a count vector; more for larger sets, at most one shingle a group on average.
 GROUPS = 64
 LEAF, FANOUT = 16, 8
 #: Members of a tree; a list with more is dealt in blocks, every two of which meet.
 TREE = 1024
 #: Shingles dealt to one partition, at most about.
-PART_TOKENS = 1_000_000
+PART_TOKENS = 500_000
 
 
 def required(na: int, nb: int, percent: int) -> int:
@@ -52,7 +53,7 @@ def required(na: int, nb: int, percent: int) -> int:
 
 
 def n_groups(n: int) -> int:
-    return max(GROUPS, 1 << max(0, n // 4 - 1).bit_length())
+    return max(GROUPS, 1 << max(0, n - 1).bit_length())
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
@@ -110,25 +111,25 @@ class CountVectorTree:
         return self.order[nodes[near]]
 
 
-def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, sides: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of positions with different labels that survive the bound.
+def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, names: np.ndarray, labels: np.ndarray, core: np.ndarray, sides: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of positions with different labels that survive the bound, the first one smaller (by size, then name) and core.
 
     sides: 0 for points of one block; with a block against another, 1 and 2, and pairs are across.
-    Sizes fall into classes a factor 100 / percent apart, so a set's partners are in its class or the next.
+    Sizes fall into classes a factor 100 / percent apart, so a set's larger partners are in its class or the next.
     """
-    step = np.log(100 / percent)
-    classes = np.floor(np.log(np.maximum(sizes, 1)) / step + 1e-9).astype(np.int64)
-    crossing = bool((sides > 0).any())
-    for c in np.unique(classes):
-        own, near = np.flatnonzero((classes == c) & (sides != 2)), np.flatnonzero((classes >= c - 1 if crossing else classes >= c) & (classes <= c + 1) & (sides != 1))
-        if not len(own) or not len(near):
-            continue
-        groups = min(min(len(points[i]) for i in own), min(len(points[i]) for i in near))
-        tree = CountVectorTree(np.stack([fold(points[i], groups) for i in own]), sizes[own])
-        for q in near:
-            for j in own[tree.search(fold(points[q], groups), int(sizes[q]), percent)]:
-                if labels[j] != labels[q] and (crossing or classes[q] > c or j < q):
-                    yield int(j), int(q)
+    classes = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
+    for mine, theirs in ((1, 2), (2, 1)) if sides.any() else ((0, 0),):
+        for c in np.unique(classes[core & (sides == mine)]):
+            own = np.flatnonzero(core & (classes == c) & (sides == mine))
+            near = np.flatnonzero((classes >= c) & (classes <= c + 1) & (sides == theirs))
+            if not len(near):
+                continue
+            groups = min(min(len(points[i]) for i in own), min(len(points[i]) for i in near))
+            tree = CountVectorTree(np.stack([fold(points[i], groups) for i in own]), sizes[own])
+            for q in near:
+                for j in own[tree.search(fold(points[q], groups), int(sizes[q]), percent)]:
+                    if labels[j] != labels[q] and (sizes[j], names[j]) < (sizes[q], names[q]):
+                        yield int(j), int(q)
 
 
 def _set_id(shingles: np.ndarray) -> int:
@@ -169,25 +170,34 @@ def frequency_ranks(described: DataFrame) -> np.ndarray:
 
 
 def dealt_tokens(shingles: np.ndarray, ranks: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the common order, as integers that sort so."""
+    """The first shingles of a set in the common order, as integers that sort so but for the lowest bit.
+
+    The lowest bit tells whether a shingle is among the fewer that suffice where the set is the smaller of two.
+    """
     order = (ranks[(shingles & U64((1 << FREQUENCY_BITS) - 1)).astype(np.int64)] << U64(64 - FREQUENCY_BITS)) | (shingles >> U64(FREQUENCY_BITS))
     n = len(order) - -(-percent * len(order) // 100) + 1
-    return order if n >= len(order) else np.partition(order, n - 1)[:n]
+    core = len(order) - -(-2 * percent * len(order) // (100 + percent)) + 1
+    first = np.partition(order, sorted({core - 1, n - 1}))[:n] & ~U64(1)
+    first[:core] |= U64(1)
+    return first
 
 
 def deal(docs: DataFrame, ranks: np.ndarray, parts: int, k: int, percent: int) -> DataFrame:
-    """part and the packed tokens, sets and sizes that a run of rows deals to it; sets met again in the run come once."""
+    """part and the packed tokens, sets, sizes and scores that a run of rows deals to it; sets met again in the run come once.
+
+    A set's score is the mean rank of its shingles: the higher, the more of it other documents have.
+    """
 
     def run(batches):
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, int, int]] = []
+        held: list[tuple[np.ndarray, int, int, int]] = []
         tokens = 0
 
         def flush():
             all_tokens = np.concatenate([h[0] for h in held])
             own = np.repeat(np.arange(len(held)), [len(h[0]) for h in held])
-            sets, sizes = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.uint32)
-            part = (mix(all_tokens) % U64(parts)).astype(np.int64)
+            sets, sizes, scores = (np.array([h[i] for h in held], kind) for i, kind in ((1, np.int64), (2, np.uint32), (3, np.uint16)))
+            part = (mix(all_tokens >> U64(1)) % U64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             part, all_tokens, own = part[order], all_tokens[order], own[order]
             at = np.flatnonzero(np.diff(part, prepend=-1))
@@ -196,14 +206,14 @@ def deal(docs: DataFrame, ranks: np.ndarray, parts: int, k: int, percent: int) -
                 first = np.flatnonzero(np.diff(own[a:b], prepend=-1))
                 docs_here = own[a:b][first]
                 counts = np.diff(np.append(first, b - a)).astype(np.uint32)
-                rows.append((int(part[a]), all_tokens[a:b].tobytes(), sets[docs_here].tobytes(), sizes[docs_here].tobytes(), counts.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["part", "tokens", "sets", "sizes", "counts"])
+                rows.append((int(part[a]), all_tokens[a:b].tobytes(), sets[docs_here].tobytes(), sizes[docs_here].tobytes(), scores[docs_here].tobytes(), counts.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["part", "tokens", "sets", "sizes", "scores", "counts"])
 
         for batch in batches:
             for _, s in shingle_sets(batch.column(0), k):
                 if len(s) and (own := _set_id(s)) not in seen:
                     seen.add(own)
-                    held.append((dealt_tokens(s, ranks, percent), own, len(s)))
+                    held.append((dealt_tokens(s, ranks, percent), own, len(s), int(ranks[(s & U64((1 << FREQUENCY_BITS) - 1)).astype(np.int64)].mean())))
                     tokens += len(held[-1][0])
                     if tokens >= PART_TOKENS:
                         yield flush()
@@ -211,62 +221,61 @@ def deal(docs: DataFrame, ranks: np.ndarray, parts: int, k: int, percent: int) -
         if held:
             yield flush()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, tokens binary, sets binary, sizes binary, counts binary")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "part int, tokens binary, sets binary, sizes binary, scores binary, counts binary")
 
 
 def lists(dealt: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Of each part: pairs (a, na, b, nb) of a list's first set and another, with list null and how many lists have them as
-    votes; and the members (b, nb) of lists of three or more."""
+    """Of each part: pairs (a, na, b, nb) of a list's best-scored set and another, with list null and how many lists have
+    them as votes; and the members (b, nb) of lists of three or more."""
 
     def run(batches):
         got = [[], [], [], []]
         for batch in batches:
             for i in range(batch.num_rows):
-                counts = np.frombuffer(batch.column(4)[i].as_py(), np.uint32)
+                counts = np.frombuffer(batch.column(5)[i].as_py(), np.uint32)
                 got[0].append(np.frombuffer(batch.column(1)[i].as_py(), np.uint64))
                 got[1].append(np.repeat(np.frombuffer(batch.column(2)[i].as_py(), np.int64), counts))
                 got[2].append(np.repeat(np.frombuffer(batch.column(3)[i].as_py(), np.uint32), counts))
+                got[3].append(np.repeat(np.frombuffer(batch.column(4)[i].as_py(), np.uint16), counts))
         if not got[0]:
             return
-        tokens, sets, sizes = (np.concatenate(x) for x in got[:3])
-        order = np.lexsort((sets, sizes, tokens))
-        tokens, sets, sizes = tokens[order], sets[order], sizes[order].astype(np.int64)
+        tokens, sets, sizes, scores = (np.concatenate(x) for x in got)
+        order = np.lexsort((sets, sizes, tokens >> U64(1)))
+        core = (tokens[order] & U64(1)) == 1
+        tokens, sets, sizes, scores = tokens[order] >> U64(1), sets[order], sizes[order].astype(np.int64), scores[order].astype(np.int64)
         fresh = np.ones(len(tokens), bool)
         fresh[1:] = (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])
-        tokens, sets, sizes = tokens[fresh], sets[fresh], sizes[fresh]
-        at = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]) != 0)
-        length = np.diff(np.append(at, len(tokens)))
-        at, length = at[length > 1], length[length > 1]
+        tokens, sets, sizes, scores, core = tokens[fresh], sets[fresh], sizes[fresh], scores[fresh], core[fresh]
+        at = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        end = np.append(at[1:], len(tokens))
+        # sizes rise within a list; what comes before its first core member has no partner there
+        at = np.minimum.reduceat(np.where(core, np.arange(len(tokens)), len(tokens)), at)
+        at, length = at[at < end - 1], (end - at)[at < end - 1]
         if not len(at):
             return
-        # lists of the same sets count once
-        signs = np.concatenate([[0], np.cumsum(mix(sets.astype(np.uint64)), dtype=np.uint64)]).astype(np.uint64)
-        _, once = np.unique(signs[at + length] - signs[at], return_index=True)
+        # a list is named by its members, so that equal ones count once, here and in other parts
+        signs = np.concatenate([[0], np.cumsum(mix(sets.astype(np.uint64) + core.astype(np.uint64)), dtype=np.uint64)]).astype(np.uint64)
+        name, once = np.unique(signs[at + length] - signs[at], return_index=True)
         at, length = at[once], length[once]
         member = np.repeat(at - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
         run_of = np.repeat(np.arange(len(at)), length)
-        hub = np.repeat(at, length)
-        # sizes rise within a list: where the first is too small for a member, the list goes on with a new first
-        for r in np.unique(run_of[100 * sizes[hub] < percent * sizes[member]]):
-            first = int(at[r])
-            for w in range(*np.searchsorted(run_of, [r, r + 1]).tolist()):
-                if 100 * sizes[first] < percent * sizes[member[w]]:
-                    first = int(member[w])
-                hub[w] = first
-        pair = hub != member
+        best = np.lexsort((sets[member], scores[member], run_of))[np.cumsum(length) - 1]
+        hub = np.repeat(member[best], length)
+        pair = (hub != member) & (100 * np.minimum(sizes[hub], sizes[member]) >= percent * np.maximum(sizes[hub], sizes[member]))
         a, b = hub[pair], member[pair]
         _, once, votes = np.unique(mix(sets[a].astype(np.uint64)) + sets[b].astype(np.uint64), return_index=True, return_counts=True)
         a, b = a[once], b[once]
-        schema = ["list", "a", "na", "b", "nb", "votes"]
+        schema = ["list", "a", "na", "b", "nb", "votes", "core"]
         for lo in range(0, len(a), 100_000):
             x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x]), pa.array(sets[y]), pa.array(sizes[y]), pa.array(votes[lo : lo + 100_000])], names=schema)
-        many = member[np.repeat(length > 2, length)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x]), pa.array(sets[y]), pa.array(sizes[y]), pa.array(votes[lo : lo + 100_000]), pa.nulls(len(x), pa.bool_())], names=schema)
+        several = np.repeat(length > 2, length)
+        many, names = member[several], np.repeat(name.astype(np.int64), length)[several]
         for lo in range(0, len(many), 100_000):
             x = many[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[x].astype(np.int64)), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x]), pa.nulls(len(x), pa.int64())], names=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 100_000]), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x]), pa.nulls(len(x), pa.int64()), pa.array(core[x])], names=schema)
 
-    return dealt.repartitionById(parts, F.col("part")).mapInArrow(run, "list long, a long, na long, b long, nb long, votes long")
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(run, "list long, a long, na long, b long, nb long, votes long, core boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -282,7 +291,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     pairs = pairs.join(degree, "a").withColumn("block", F.xxhash64("a", F.pmod(F.xxhash64("b"), "blocks")))
     rows = pairs.select("block", F.col("a").alias("hub"), F.col("b").alias("set")).union(pairs.select("block", F.col("a").alias("hub"), F.col("a").alias("set")).distinct())
     rows = materialize(rows, "blocks")
-    cells = max(shuffle_partitions(spark), rows.count() // 2_000)
+    cells = max(shuffle_partitions(spark), rows.count() // 500)
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -324,19 +333,19 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def search_lists(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b of sets in one list and different components that survive a tree; members: list, set, n, component, vector.
+    """Pairs a, b of sets in one list and different components that survive a tree; members: list, set, n, core, component, vector.
 
     A list of more than TREE members is dealt in blocks, and a tree of each block is asked by every later block.
     """
     count = members.groupBy("list").agg(F.ceil(F.count("*") / TREE).cast("int").alias("blocks"))
     rows = members.join(count, "list").withColumn("own", F.pmod(F.xxhash64("set", "list"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "n", "component", "vector")
+    rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "n", "core", "component", "vector")
     cells = shuffle_partitions(members.sparkSession) * 4
 
     def run(table: pa.Table) -> pa.Table:
         own, n, component, block_i, block_j, side = (table.column(c).to_numpy() for c in ("set", "n", "component", "i", "j", "own"))
-        name = table.column("list").to_numpy()
+        name, core = table.column("list").to_numpy(), np.array(table.column("core").to_pylist(), bool)
         vectors = table.column("vector").to_pylist()
         order = np.lexsort((own, block_j, block_i, name))
         key = np.stack([name, block_i, block_j])[:, order]
@@ -348,7 +357,7 @@ def search_lists(members: DataFrame, percent: int) -> DataFrame:
                 continue
             sides = np.where(side[at] == block_i[at], 1, 2) if block_i[at[0]] != block_j[at[0]] else np.zeros(b - a, int)
             points = [unpack_vector(vectors[i], int(n[i])) for i in at]
-            for x, y in tree_pairs(points, n[at], component[at], sides, percent):
+            for x, y in tree_pairs(points, n[at], own[at], component[at], core[at], sides, percent):
                 p, q = int(own[at[x]]), int(own[at[y]])
                 found.add((min(p, q), max(p, q)))
         pairs = sorted(found)
@@ -381,6 +390,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     described = materialize(describe(docs, k), "sets")
     rows = described.where("grp IS NULL").select("doc_id", "n", "set")
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -388,7 +398,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     dealt = deal(docs.where("doc_id IS NOT NULL"), frequency_ranks(described), parts, k, percent)
     found = materialize(lists(dealt, parts, percent), "lists")
     pairs = materialize(found.where("list IS NULL").groupBy("a", "b").agg(F.sum("votes").alias("votes")), "pairs")
-    members = found.where("list IS NOT NULL").select("list", F.col("b").alias("set"), F.col("nb").alias("n"))
+    members = found.where("list IS NOT NULL").select("list", F.col("b").alias("set"), F.col("nb").alias("n"), "core").distinct()
 
     first = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(members.select("set")).distinct().join(first, "set")
