@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.functions.windows import RUN, complete, frame, lag, log_return, rcorr, rmax, rmean, rmin, rslope, rstd, rsum, safe_div, true_range
+from tidebars.functions.windows import by_run, complete, frame, lag, let, log_return, rcorr, rmax, rmean, rmin, rslope, rstd, rsum, safe_div, true_range
 from tidebars.sources.bars import LONDON, NEW_YORK, TICK
 
 KEYS = ("product", "bar_ts", "bar_id", "run_id")
@@ -107,9 +107,9 @@ def volume() -> dict[str, Column]:
 def islands(bars: DataFrame, key: Column, name: str) -> DataFrame:
     """name: an id that changes whenever the run or key changes; contiguous stretches, not equal keys."""
     bars = bars.withColumn("_k", key)
-    changed = ~c("_k").eqNullSafe(F.lag("_k").over(RUN)) | (c("run_position") == 0)
+    changed = ~c("_k").eqNullSafe(F.lag("_k").over(by_run())) | (c("run_position") == 0)
     bars = bars.withColumn("_new", changed.cast("int"))
-    return bars.withColumn(name, F.concat_ws("/", "run_id", F.sum("_new").over(RUN.rowsBetween(Window.unboundedPreceding, 0)))).drop("_k", "_new")
+    return bars.withColumn(name, F.concat_ws("/", "run_id", F.sum("_new").over(by_run().rowsBetween(Window.unboundedPreceding, 0)))).drop("_k", "_new")
 
 
 def so_far(group: str) -> Window:
@@ -209,7 +209,7 @@ def experimental(bars: DataFrame) -> DataFrame:
 
 def clock(bars: DataFrame) -> DataFrame:
     """Entry-clock columns of decision bars whose next bar is in a session and the same run."""
-    entry = F.lead("bar_ts").over(RUN)
+    entry = F.lead("bar_ts").over(by_run())
     bars = bars.withColumn("entry_ts", entry).withColumn("entry_minute", F.hour("entry_ts") * 60 + F.minute("entry_ts"))
     london, new_york = c("entry_minute").between(LONDON[0], LONDON[1] - 1), c("entry_minute").between(NEW_YORK[0], NEW_YORK[1] - 1)
     bars = bars.where(london | new_york).withColumn("entry_session", F.when(london, "London").otherwise("New York"))
@@ -356,10 +356,14 @@ def profile(bars: DataFrame, n: int = 30) -> DataFrame:
 
 def p1_robust(p: Column, trim: int = 3) -> Column:
     """Each value less the trimmed mean, over the scaled MAD; NULL where that is zero."""
-    n = F.size(p)
-    mean = F.aggregate(F.slice(F.array_sort(p), F.lit(trim + 1), n - 2 * trim), F.lit(0.0), lambda s, x: s + x) / (n - 2 * trim)
-    scale = MAD_SCALE * median(F.transform(p, lambda x: F.abs(x - median(p))))
-    return F.when(scale > 0, F.transform(p, lambda x: (x - mean) / scale))
+
+    def over(a: Column) -> Column:
+        n = F.size(a)
+        mean = F.aggregate(F.slice(F.array_sort(a), F.lit(trim + 1), n - 2 * trim), F.lit(0.0), lambda s, x: s + x) / (n - 2 * trim)
+        scale = let(median(a), lambda m: MAD_SCALE * median(F.transform(a, lambda x: F.abs(x - m))))
+        return let(F.struct(mean.alias("m"), scale.alias("s")), lambda t: F.when(t["s"] > 0, F.transform(a, lambda x: (x - t["m"]) / t["s"])))
+
+    return let(p, over)
 
 
 def p2_difference(p: Column) -> Column:
