@@ -82,7 +82,7 @@ def test_tree_loses_no_pair_and_bounds_overlap():
     sets = [np.unique(np.where(rng.random(400) < p, rng.integers(1, 1 << 62, 400, dtype=np.uint64), base)) for p in np.linspace(0, 0.4, 60)]
     points, sizes = [jaccard.count_vector(s) for s in sets], np.array([len(s) for s in sets])
     n = len(sets)
-    found = set(jaccard.tree_pairs(points, sizes, np.arange(n), np.arange(n), np.ones(n, bool), np.zeros(n, int), 75))
+    found = set(jaccard.tree_pairs(points, sizes, np.arange(n), np.zeros(n, int), 75))
     near = {frozenset((i, j)) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
     assert near and near <= {frozenset(p) for p in found}
 

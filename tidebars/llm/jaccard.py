@@ -14,8 +14,8 @@ deals anything. Texts of one set are one point throughout.
 How large groups of near copies stay cheap. In each list the set with the commonest shingles, which in a group of copies
 is the one changed least, stands for the list. Each set is first compared with the one that does so in most of its
 lists; a tree over all sets with the same choice answers it, the survivors are verified, and the links make
-components. Then all lists are searched in full, but only for pairs in different
-components. Together every dealt pair is either verified or joined already, and no list is expanded into all its pairs.
+components. Then the lists, those with one representative together, are searched in full, but only for pairs in
+different components. Together every dealt pair is either verified or joined already, and no list is expanded into all its pairs.
 
 Defined results: a text without words (null, empty) has no shingles and its own component; a row without doc_id takes no part
 and has a null component; rows that repeat a doc_id give a row each; an empty table gives no rows; columns other than
@@ -111,25 +111,28 @@ class CountVectorTree:
         return self.order[nodes[near]]
 
 
-def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, names: np.ndarray, labels: np.ndarray, core: np.ndarray, sides: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of positions with different labels that survive the bound, the first one smaller (by size, then name) and core.
+def tree_pairs(points: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, sides: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of positions with different labels that survive the bound; a pair may come twice, once from either end.
 
+    One end of such a pair is not of the commonest label, so only those points are looked up.
     sides: 0 for points of one block; with a block against another, 1 and 2, and pairs are across.
-    Sizes fall into classes a factor 100 / percent apart, so a set's larger partners are in its class or the next.
+    Sizes fall into classes a factor 100 / percent apart, so a set's partners are in its class or one beside it.
     """
     classes = np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
+    names, count = np.unique(labels, return_counts=True)
+    asks = labels != names[np.argmax(count)]
     for mine, theirs in ((1, 2), (2, 1)) if sides.any() else ((0, 0),):
-        for c in np.unique(classes[core & (sides == mine)]):
-            own = np.flatnonzero(core & (classes == c) & (sides == mine))
-            near = np.flatnonzero((classes >= c) & (classes <= c + 1) & (sides == theirs))
+        for c in np.unique(classes[sides == mine]):
+            own = np.flatnonzero((classes == c) & (sides == mine))
+            near = np.flatnonzero(asks & (np.abs(classes - c) <= 1) & (sides == theirs))
             if not len(near):
                 continue
             groups = min(min(len(points[i]) for i in own), min(len(points[i]) for i in near))
             tree = CountVectorTree(np.stack([fold(points[i], groups) for i in own]), sizes[own])
             for q in near:
                 for j in own[tree.search(fold(points[q], groups), int(sizes[q]), percent)]:
-                    if labels[j] != labels[q] and (sizes[j], names[j]) < (sizes[q], names[q]):
-                        yield int(j), int(q)
+                    if labels[j] != labels[q]:
+                        yield int(q), int(j)
 
 
 def _set_id(shingles: np.ndarray) -> int:
@@ -226,7 +229,7 @@ def deal(docs: DataFrame, ranks: np.ndarray, parts: int, k: int, percent: int) -
 
 def lists(dealt: DataFrame, parts: int, percent: int) -> DataFrame:
     """Of each part: pairs (a, na, b, nb) of a list's best-scored set and another, with list null and how many lists have
-    them as votes; and the members (b, nb) of lists of three or more."""
+    them as votes; and the members (b, nb) of lists of three or more, with the best-scored set as list."""
 
     def run(batches):
         got = [[], [], [], []]
@@ -253,9 +256,9 @@ def lists(dealt: DataFrame, parts: int, percent: int) -> DataFrame:
         at, length = at[at < end - 1], (end - at)[at < end - 1]
         if not len(at):
             return
-        # a list is named by its members, so that equal ones count once, here and in other parts
+        # lists of the same members count once
         signs = np.concatenate([[0], np.cumsum(mix(sets.astype(np.uint64) + core.astype(np.uint64)), dtype=np.uint64)]).astype(np.uint64)
-        name, once = np.unique(signs[at + length] - signs[at], return_index=True)
+        _, once = np.unique(signs[at + length] - signs[at], return_index=True)
         at, length = at[once], length[once]
         member = np.repeat(at - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
         run_of = np.repeat(np.arange(len(at)), length)
@@ -265,17 +268,20 @@ def lists(dealt: DataFrame, parts: int, percent: int) -> DataFrame:
         a, b = hub[pair], member[pair]
         _, once, votes = np.unique(mix(sets[a].astype(np.uint64)) + sets[b].astype(np.uint64), return_index=True, return_counts=True)
         a, b = a[once], b[once]
-        schema = ["list", "a", "na", "b", "nb", "votes", "core"]
+        schema = ["list", "a", "na", "b", "nb", "votes"]
         for lo in range(0, len(a), 100_000):
             x, y = a[lo : lo + 100_000], b[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x]), pa.array(sets[y]), pa.array(sizes[y]), pa.array(votes[lo : lo + 100_000]), pa.nulls(len(x), pa.bool_())], names=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x]), pa.array(sets[y]), pa.array(sizes[y]), pa.array(votes[lo : lo + 100_000])], names=schema)
+        # lists with one representative make one group: a set meets it once, whatever lists they share
         several = np.repeat(length > 2, length)
-        many, names = member[several], np.repeat(name.astype(np.int64), length)[several]
-        for lo in range(0, len(many), 100_000):
-            x = many[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(names[lo : lo + 100_000]), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x]), pa.nulls(len(x), pa.int64()), pa.array(core[x])], names=schema)
+        name, own = sets[np.repeat(member[best], length)[several]], member[several]
+        _, once = np.unique(mix(name.astype(np.uint64)) + sets[own].astype(np.uint64), return_index=True)
+        name, own = name[once], own[once]
+        for lo in range(0, len(own), 100_000):
+            x = own[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(name[lo : lo + 100_000]), pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.int64()), pa.array(sets[x]), pa.array(sizes[x]), pa.nulls(len(x), pa.int64())], names=schema)
 
-    return dealt.repartitionById(parts, F.col("part")).mapInArrow(run, "list long, a long, na long, b long, nb long, votes long, core boolean")
+    return dealt.repartitionById(parts, F.col("part")).mapInArrow(run, "list long, a long, na long, b long, nb long, votes long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -328,24 +334,25 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
             search(group, int(hub[last]))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    given = rows.join(texts.select("set", "text"), "set").withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)))
+    # both sides grow with the corpus: merged at any size, never broadcast
+    given = rows.hint("merge").join(texts.select("set", "text"), "set").withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)))
     return given.select("cell", "block", "hub", "set", "text").groupBy("cell").applyInArrow(compare, "a long, b long")
 
 
 def search_lists(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs a, b of sets in one list and different components that survive a tree; members: list, set, n, core, component, vector.
+    """Pairs a, b of sets in one list and different components that survive a tree; members: list, set, n, component, vector.
 
     A list of more than TREE members is dealt in blocks, and a tree of each block is asked by every later block.
     """
     count = members.groupBy("list").agg(F.ceil(F.count("*") / TREE).cast("int").alias("blocks"))
     rows = members.join(count, "list").withColumn("own", F.pmod(F.xxhash64("set", "list"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "n", "core", "component", "vector")
+    rows = rows.select("list", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "n", "component", "vector")
     cells = shuffle_partitions(members.sparkSession) * 4
 
     def run(table: pa.Table) -> pa.Table:
         own, n, component, block_i, block_j, side = (table.column(c).to_numpy() for c in ("set", "n", "component", "i", "j", "own"))
-        name, core = table.column("list").to_numpy(), np.array(table.column("core").to_pylist(), bool)
+        name = table.column("list").to_numpy()
         vectors = table.column("vector").to_pylist()
         order = np.lexsort((own, block_j, block_i, name))
         key = np.stack([name, block_i, block_j])[:, order]
@@ -357,9 +364,10 @@ def search_lists(members: DataFrame, percent: int) -> DataFrame:
                 continue
             sides = np.where(side[at] == block_i[at], 1, 2) if block_i[at[0]] != block_j[at[0]] else np.zeros(b - a, int)
             points = [unpack_vector(vectors[i], int(n[i])) for i in at]
-            for x, y in tree_pairs(points, n[at], own[at], component[at], core[at], sides, percent):
+            for x, y in tree_pairs(points, n[at], component[at], sides, percent):
                 p, q = int(own[at[x]]), int(own[at[y]])
-                found.add((min(p, q), max(p, q)))
+                if (q, p) not in found:
+                    found.add((p, q))
         pairs = sorted(found)
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
@@ -383,7 +391,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(sizes, pa.int64()), batch.column(1).take(at), pa.array(vectors, pa.binary())], names=["set", "n", "text", "vector"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "doc_id")
     return rows.select("set", "text").mapInArrow(run, "set long, n long, text string, vector binary")
 
 
@@ -398,7 +406,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     dealt = deal(docs.where("doc_id IS NOT NULL"), frequency_ranks(described), parts, k, percent)
     found = materialize(lists(dealt, parts, percent), "lists")
     pairs = materialize(found.where("list IS NULL").groupBy("a", "b").agg(F.sum("votes").alias("votes")), "pairs")
-    members = found.where("list IS NOT NULL").select("list", F.col("b").alias("set"), F.col("nb").alias("n"), "core").distinct()
+    members = found.where("list IS NOT NULL").select("list", F.col("b").alias("set"), F.col("nb").alias("n")).distinct()
 
     first = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(members.select("set")).distinct().join(first, "set")
@@ -413,7 +421,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     apart = apart.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
     own = members.join(near, "set", "left").withColumn("component", F.coalesce("component", "set"))
     several = own.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
-    own = materialize(own.join(several, "list"), "members").join(texts.select("set", "vector"), "set")
+    own = materialize(own.join(several, "list"), "members").hint("merge").join(texts.select("set", "vector"), "set")
     more = materialize(search_lists(own, percent).union(apart).distinct(), "pairs")
     links = materialize(links.union(verified(more, texts, k, percent)), "links")
     near = components(links).withColumnRenamed("node", "set")

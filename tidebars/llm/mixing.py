@@ -22,7 +22,7 @@ from tidebars.llm.quality import words
 from tidebars.llm.store import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, ALPHA, MIN_SHARE, SEED = 8, 0.7, 0.005, "mix-1"
+ROUNDS, ALPHA, MIN_SHARE, SEED = 8, 0.9, 0.005, "mix-1"
 _HEX = 12
 
 
