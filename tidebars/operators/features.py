@@ -430,6 +430,8 @@ def acf_energy(bars: DataFrame, n: int = 60, lags: int = 5) -> DataFrame:
 def spearman_profiles(bars: DataFrame, n: int = 30) -> DataFrame:
     """spearman_ret_volume_30: rank correlation of the return and volume profiles; both need a fifth of distinct values."""
     bars = profile(bars, n)
+    # values that differ by rounding alone are ties
+    bars = bars.withColumns({x: F.transform(x, lambda v: F.round(v, 9)) for x in ("p_ret", "p_volume")})
     bars = bars.withColumns({"k_ret": rank_average(c("p_ret")), "k_vol": rank_average(c("p_volume"))})
     need = max(3, math.ceil(0.2 * n))
     enough = (F.size(F.array_distinct("p_ret")) >= need) & (F.size(F.array_distinct("p_volume")) >= need)

@@ -163,9 +163,9 @@ def event_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups ranked by mean move, sample weight and agreement of sign between partitions."""
     rows = _labels(spark, sf_dir)
-    cells = rows.groupBy("entry_session", "weekday").pivot("research_partition", ["Development", "Validation"]).agg(F.avg("return_atr").alias("m"), F.count("*").alias("n"))
+    cells = rows.groupBy("entry_session", "weekday").pivot("research_partition", ["Development", "Validation"]).agg(F.avg("return_atr").alias("m"), F.count(F.lit(1)).alias("n"))
     agree = F.coalesce(F.signum("Development_m") == F.signum("Validation_m"), F.lit(False))
-    cells = cells.where("Development_n > 0").withColumn("score", F.round(F.abs("Development_m") * F.log1p("Development_n") * F.when(agree, 1.0).otherwise(0.5), 6))
+    cells = cells.where("coalesce(Development_n, 0) > 0").withColumn("score", F.round(F.abs("Development_m") * F.log1p("Development_n") * F.when(agree, 1.0).otherwise(0.5), 6))
     return cells.select("entry_session", "weekday", "score", F.row_number().over(Window.orderBy(F.desc("score"), "entry_session", "weekday")).alias("place"))
 
 

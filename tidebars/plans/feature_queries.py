@@ -91,7 +91,7 @@ def clock_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def profile_p0(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The profile's 30 lags of each channel as rows (lag 0 newest)."""
-    bars = f.profile(f.prepared(event_bars(spark, sf_dir))).where("p_ret IS NOT NULL")
+    bars = f.profile(f.prepared(event_bars(spark, sf_dir))).where("p_ret IS NOT NULL AND p_range IS NOT NULL")
     rows = bars.select(*KEYS, F.posexplode(F.arrays_zip(F.col("p_ret").alias("r"), F.col("p_range").alias("t"))).alias("pos", "x"))
     return rows.select(*KEYS, (29 - F.col("pos")).cast("int").alias("lag"), rounded(F.col("x.r")).alias("ret_bps"), rounded(F.col("x.t")).alias("range_atr"))
 
@@ -303,7 +303,8 @@ _ACF_CTE = f"""a1 AS (SELECT *, {", ".join(f"lag(ret, {k}) OVER o AS ret_l{k}" f
 a2 AS (SELECT *, {", ".join(f"CASE WHEN count(ret) OVER w60 = 60 THEN {corr('ret', f'ret_l{k}', f'w{60 - k}', 60 - k)} END AS rho{k}" for k in range(1, 6))} FROM a1 {_RHO_W})"""
 _RANK = "list_transform({a}, lambda x: len(list_filter({a}, lambda y: y < x)) + (len(list_filter({a}, lambda y: y = x)) + 1) / 2.0)"
 _SPEARMAN_CTE = f"""{_FES_CTE},
-u AS (SELECT *, {_RANK.format(a="a")} AS kr, {_RANK.format(a="av")} AS kv FROM h1),
+u0 AS (SELECT * REPLACE (list_transform(a, lambda x: round(x, 9)) AS a, list_transform(av, lambda x: round(x, 9)) AS av) FROM h1),
+u AS (SELECT *, {_RANK.format(a="a")} AS kr, {_RANK.format(a="av")} AS kv FROM u0),
 u2 AS (SELECT product, bar_ts, bar_id, unnest(kr) AS x, unnest(kv) AS y FROM u WHERE a IS NOT NULL AND av IS NOT NULL AND len(list_distinct(a)) >= 6 AND len(list_distinct(av)) >= 6),
 u3 AS (SELECT product, bar_ts, bar_id, corr(x, y) AS rho FROM u2 GROUP BY ALL)"""
 _TSAY_CTE = f"""y1 AS (SELECT *, lag(dc) OVER o AS dc_before, CASE WHEN dc IS NOT NULL THEN CAST(dc = 0 AS DOUBLE) END AS still, (logv - ({roll('avg', 'logv', 60)})) / nullif({roll('stddev_pop', 'logv', 60)}, 0) AS zvol FROM f {windows(60)}),
@@ -378,7 +379,7 @@ round(sin(2 * pi() * em / 1440), 6) + 0.0 AS time_of_day_sin, round(cos(2 * pi()
     "fes_acf_energy": f"{_F}, {_ACF_CTE} {pick({'acf_energy_60': 'sqrt((rho1 * rho1 + rho2 * rho2 + rho3 * rho3 + rho4 * rho4 + rho5 * rho5) / 5)'}, 'a2')}",
     "fes_spearman": f"{_F}, {_SPEARMAN_CTE} SELECT {K}, round(rho, 6) + 0.0 AS spearman_ret_volume_30 FROM f LEFT JOIN u3 USING (product, bar_ts, bar_id)",
     "tsay_family": f"{_F}, {_TSAY_CTE} {pick(_TSAY, 'y4', windows(60))}",
-    "profile_p0": f"{_F}, {_FES_CTE} SELECT {K}, CAST(30 - i AS INTEGER) AS lag, round(a[i], 6) + 0.0 AS ret_bps, round(ar[i], 6) + 0.0 AS range_atr FROM h1, (SELECT unnest(range(1, 31)) AS i) WHERE a IS NOT NULL",
+    "profile_p0": f"{_F}, {_FES_CTE} SELECT {K}, CAST(30 - i AS INTEGER) AS lag, round(a[i], 6) + 0.0 AS ret_bps, round(ar[i], 6) + 0.0 AS range_atr FROM h1, (SELECT unnest(range(1, 31)) AS i) WHERE a IS NOT NULL AND ar IS NOT NULL",
     "profile_stages": f"""{_F}, {_FES_CTE},
 z1 AS (SELECT {K}, list_transform(a, lambda x: (x - list_avg(list_sort(a)[4:27])) / mad) AS p FROM h3 WHERE mad > 0),
 z2 AS (SELECT *, list_transform(range(2, 31), lambda i: p[i] - p[i - 1]) AS d, list_transform(range(1, 31), lambda i: CASE WHEN i < 3 THEN p[i] ELSE list_aggregate(p[i - 2:i], 'median') END) AS t FROM z1)

@@ -82,12 +82,12 @@ def ar_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of the next ten returns by an AR(2) on the last 40 returns: arrays in, one Arrow batch at a time."""
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def forecast(a: pd.Series) -> pd.Series:
-        return a.map(lambda x: inference.ar_forecast(np.asarray(x, float), 2, 10) if x is not None else None).astype(float)
+    def forecast(batches):
+        for pdf in batches:
+            yield pd.DataFrame({**{k: pdf[k] for k in KEYS}, "ar_sum": [inference.ar_forecast(np.asarray(x, float), 2, 10) for x in pdf["a"]]})
 
-    bars = features.prepared(event_bars(spark, sf_dir)).withColumn("a", features.window_array(c("ret"), 40)).where("a IS NOT NULL")
-    return bars.select(*KEYS, forecast("a").alias("ar_sum")).select(*KEYS, _nan_to_null("ar_sum"))
+    bars = features.prepared(event_bars(spark, sf_dir)).withColumn("a", features.window_array(c("ret"), 40)).where("a IS NOT NULL").select(*KEYS, "a")
+    return bars.mapInPandas(forecast, "product string, bar_ts timestamp_ntz, bar_id int, ar_sum double").select(*KEYS, _nan_to_null("ar_sum"))
 
 
 def thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,22 +206,25 @@ def ljung_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Autocorrelation terms of returns within runs, pooled, and the statistic over five lags."""
     from tidebars.functions.windows import by_run
 
-    bars = features.prepared(event_bars(spark, sf_dir)).where("ret IS NOT NULL")
-    mean = bars.agg(F.avg("ret").alias("m"), F.var_pop("ret").alias("v"), F.count("*").alias("n"))
-    bars = bars.join(F.broadcast(mean)).withColumn("x", c("ret") - c("m"))
+    bars = features.prepared(event_bars(spark, sf_dir)).where("ret IS NOT NULL").select("run_id", "bar_id", "ret")
+    mean, v, n = bars.agg(F.avg("ret"), F.var_pop("ret"), F.count("*")).first()
+    bars = bars.withColumn("x", c("ret") - mean)
     bars = bars.withColumns({f"x{k}": F.lag("x", k).over(by_run()) for k in range(1, 6)})
-    wide = bars.groupBy("n", "v").agg(*[F.struct(F.sum(c("x") * c(f"x{k}")).alias("s"), F.count(f"x{k}").alias("pairs")).alias(f"k{k}") for k in range(1, 6)])
-    rows = wide.select("n", "v", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), c(f"k{k}.s").alias("s"), c(f"k{k}.pairs").alias("pairs")) for k in range(1, 6)])).alias("x")).select("n", "v", "x.*")
-    return rows.select("lag", "pairs", rounded(c("s") / (c("n") * c("v"))).alias("rho"), rounded(c("n") * (c("n") + 2) * F.pow(c("s") / (c("n") * c("v")), F.lit(2.0)) / c("pairs")).alias("term"))
+    wide = bars.agg(*[F.struct(F.sum(c("x") * c(f"x{k}")).alias("s"), F.count(f"x{k}").alias("pairs")).alias(f"k{k}") for k in range(1, 6)])
+    rows = wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), c(f"k{k}.s").alias("s"), c(f"k{k}.pairs").alias("pairs")) for k in range(1, 6)])).alias("x")).select("x.*")
+    rho = c("s") / (n * v)
+    return rows.select("lag", "pairs", rounded(rho).alias("rho"), rounded(n * (n + 2) * rho * rho / c("pairs")).alias("term"))
 
 
 def corr_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features clustered by rank correlation: one aggregate for the matrix, linkage on k by k."""
+    """Features clustered by rank correlation on percentile ranks: two aggregates, then linkage on k by k."""
     names = ["bps5", "disp5", "clv", "relvol20", "rng", "body", "atr5", "atr20"]
     bars = features.prepared(event_bars(spark, sf_dir)).dropna(subset=names)
-    ranked = bars.select("bar_id", *names)
-    for n in names:
-        ranked = global_rank(ranked, n, "_rank").drop(n).withColumnRenamed("_rank", n)
+    qs = F.array(*[F.lit(i / 100) for i in range(1, 100)])
+    edges = bars.agg(*[F.percentile_approx(n, qs, F.lit(1000)).alias(f"e_{n}") for n in names])
+    # ranks in hundredths: how many percentile edges a value reaches
+    hundredth = lambda n: F.size(F.filter(f"e_{n}", lambda e: e <= c(n))).cast("double").alias(n)
+    ranked = bars.join(F.broadcast(edges)).select(*[hundredth(n) for n in names])
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
     got = ranked.agg(*[corr(c(names[i]), c(names[j])) for i, j in pairs]).first()
     rho = np.eye(len(names))
@@ -346,9 +349,9 @@ SELECT x.trade_date, x.session, x.bar_id FROM k JOIN x USING (trade_date, sessio
 d AS (SELECT research_partition, trade_date, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS loss, sum(pow(p - y, 2)) AS sq, count(*) AS n FROM x GROUP BY 1, 2) SELECT research_partition, {r('sum(sq) / sum(n)')} AS brier, {r('avg(loss)')} AS log_loss FROM d GROUP BY 1""",
     "robust_preprocess": f"""WITH {SECTION}, q AS (SELECT quantile_cont(target, [0.25, 0.5, 0.75]) AS q FROM s WHERE research_partition = 'Development'), z AS (SELECT research_partition, greatest(-10.0, least(10.0, (target - q[2]) / (q[3] - q[1]))) AS z FROM s, q)
 SELECT research_partition, {r('avg(z)')} AS mean_z, {r('max(z)')} AS max_z, {r('min(z)')} AS min_z FROM z GROUP BY 1""",
-    "ljung_box": f"""{_F}, m AS (SELECT avg(ret) AS m, var_pop(ret) AS v, count(*) AS n FROM f WHERE ret IS NOT NULL), x AS (SELECT f.*, ret - m AS x, v, n FROM f, m WHERE ret IS NOT NULL),
-y AS (SELECT n, v, x, unnest([1, 2, 3, 4, 5]) AS lag, unnest([{', '.join(f'lag(x, {k}) OVER o' for k in range(1, 6))}]) AS w FROM x {sql.windows()}), g AS (SELECT n, v, lag, sum(x * w) AS s, count(w) AS pairs FROM y GROUP BY ALL)
-SELECT lag, pairs, {r('s / (n * v)')} AS rho, {r('n * (n + 2) * pow(s / (n * v), 2) / pairs')} AS term FROM g""",
+    "ljung_box": f"""{_F}, m AS (SELECT avg(ret) AS m, var_pop(ret) AS v, count(*) AS n FROM f WHERE ret IS NOT NULL), x AS MATERIALIZED (SELECT run_id, bar_id, ret - (SELECT m FROM m) AS x FROM f WHERE ret IS NOT NULL),
+g AS (SELECT k AS lag, sum(a.x * b.x) AS s, count(*) AS pairs FROM x a, (VALUES (1), (2), (3), (4), (5)) t(k), x b WHERE b.run_id = a.run_id AND b.bar_id = a.bar_id - k GROUP BY 1)
+SELECT lag, pairs, {r('s / (n * v)')} AS rho, {r('n * (n + 2) * pow(s / (n * v), 2) / pairs')} AS term FROM g, m""",
     "quantiles_exact": f"WITH {SECTION}, q AS (SELECT unnest([0.01, 0.25, 0.5, 0.9, 0.99]::DOUBLE[]) AS q, unnest(quantile_cont(target, [0.01, 0.25, 0.5, 0.9, 0.99])) AS value FROM s) SELECT q, {r('value', 4)} AS value FROM q",
     "rank_global": f"WITH {SECTION}, k AS (SELECT research_partition, rank() OVER (ORDER BY feature) + (count(*) OVER (PARTITION BY feature) - 1) / 2.0 AS rk FROM s) SELECT research_partition, count(*) AS n, {r('sum(rk)', 1)} AS rank_sum FROM k GROUP BY 1",
     "prediction_summary": f"""WITH {SECTION}, x AS (SELECT research_partition, feature / 25 - 1 AS p, target / 35000 - 1 AS y FROM s) SELECT research_partition, count(*) AS n, {r('avg(abs(p - y))')} AS mae, {r('sqrt(avg((p - y) * (p - y)))')} AS rmse, {r('corr(p, y)')} AS pearson,

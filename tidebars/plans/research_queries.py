@@ -177,8 +177,8 @@ _MODELS = {
     "hybrid": "least(low, close - 0.5 * atr20)",
 }
 _STOPS = " UNION ALL ".join(f"SELECT '{n}' AS model, close, {x} AS stop FROM f" for n, x in _MODELS.items())
-_SWEEP = _PASSAGE.replace("entry_session, entry_price, side, 1.5 * atr20 AS risk, entry_price - side * 1.5 * atr20 AS stop, entry_price + side * 3.0 * atr20 AS target", "sa || '|' || tr AS entry_session, entry_price, side, sa * atr20 AS risk, entry_price - side * sa * atr20 AS stop, entry_price + side * tr * sa * atr20 AS target").replace(
-    "(VALUES (1), (-1)) s(side)", "(VALUES (1)) s(side), (VALUES (1.0::DOUBLE), (2.0::DOUBLE)) sv(sa), (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (3.0::DOUBLE)) tv(tr)"
+_SWEEP = _PASSAGE.replace("entry_session, entry_price, side, 1.5 * atr20 AS risk, entry_price - side * 1.5 * atr20 AS stop, entry_price + side * 3.0 * atr20 AS target", "sa || '|' || tgt AS entry_session, entry_price, side, sa * atr20 AS risk, entry_price - side * sa * atr20 AS stop, entry_price + side * tgt * sa * atr20 AS target").replace(
+    "(VALUES (1), (-1)) s(side)", "(VALUES (1)) s(side), (VALUES (1.0::DOUBLE), (2.0::DOUBLE)) sv(sa), (VALUES (1.0::DOUBLE), (2.0::DOUBLE), (3.0::DOUBLE)) tv(tgt)"
 )
 
 
