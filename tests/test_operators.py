@@ -22,7 +22,7 @@ def make_bars(spark, n=200, flat=False, missing=(), closes=None):
     rows, close = [], 20.0
     for i in range(n):
         before = close
-        close = closes[i] if closes is not None else (20.0 if flat else round(close + steps[i % 6], 6))
+        close = float(closes[i]) if closes is not None else (20.0 if flat else round(close + steps[i % 6], 6))
         if i not in missing:
             pad = 0.0 if flat else 0.2
             rows.append(("P", START + dt.timedelta(minutes=15 * i), before, max(before, close) + pad, min(before, close) - pad, close, volumes[i % 6]))
