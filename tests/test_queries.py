@@ -29,6 +29,8 @@ def duck():
 def comparable(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df)].copy()
     for name in df:
+        if pd.api.types.is_numeric_dtype(df[name]) and not pd.api.types.is_bool_dtype(df[name]) and df[name].isna().any():
+            df[name] = df[name].astype(float)  # NULLs make integers floats on one side only
         if pd.api.types.is_datetime64_any_dtype(df[name]):
             df[name] = df[name].astype("datetime64[us]").astype(str)
         elif pd.api.types.is_float_dtype(df[name]):

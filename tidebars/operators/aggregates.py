@@ -34,7 +34,7 @@ def symmetry(rows: DataFrame, x: str, groups: list[str]) -> DataFrame:
     out = rows.groupingSets(sets, *[c(g) for g in groups]).agg(
         F.count(x).alias("n"), F.avg(x).alias("mean"), F.avg((c(x) > 0).cast("double")).alias("up_rate"), F.avg(F.when(c(x) > 0, c(x))).alias("mean_up"), F.avg(F.when(c(x) < 0, -c(x))).alias("mean_down")
     )
-    return out.withColumn("tail_ratio", safe_div(c("mean_up"), c("mean_down")))
+    return out.where("n > 0").withColumn("tail_ratio", safe_div(c("mean_up"), c("mean_down")))
 
 
 def cost_thresholds(rows: DataFrame, ticks: str, keys: list[str]) -> DataFrame:

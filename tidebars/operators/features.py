@@ -248,7 +248,7 @@ def tod_reference(bars: DataFrame, min_obs: int = TOD_OBS, min_dates: int = TOD_
     rows = rows.withColumns({"n_ref": n, "dates_ref": c("dates") - F.when(c("nd").isNotNull(), 1).otherwise(0), "mean_ref": safe_div(s, n)})
     rows = rows.withColumn("sd_ref", F.sqrt(F.greatest(safe_div(q, n) - c("mean_ref") * c("mean_ref"), F.lit(0.0))))
     enough = (c("n_ref") >= min_obs) & (c("dates_ref") >= min_dates)
-    return rows.withColumns({"tod_log_volume_z": F.when(enough & (c("sd_ref") > 1e-9), (c("x") - c("mean_ref")) / c("sd_ref")), "tod_relative_volume": F.when(enough, F.exp(c("x") - c("mean_ref")))})
+    return rows.withColumns({"tod_log_volume_z": F.when(enough & (c("sd_ref") > 1e-6), (c("x") - c("mean_ref")) / c("sd_ref")), "tod_relative_volume": F.when(enough, F.exp(c("x") - c("mean_ref")))})
 
 
 def clock_adjusted(bars: DataFrame, min_obs: int, min_dates: int) -> DataFrame:
@@ -263,7 +263,7 @@ def clock_adjusted(bars: DataFrame, min_obs: int, min_dates: int) -> DataFrame:
     rows = rows.withColumns({"n_ref": pick("n1", "n2"), "dates_ref": pick("d1", "d2"), "mean_ref": safe_div(pick("s1", "s2").cast("double"), pick("n1", "n2"))})
     variance = safe_div(pick("q1", "q2").cast("double"), c("n_ref")) - c("mean_ref") * c("mean_ref")
     rows = rows.withColumn("sd_ref", F.sqrt(F.greatest(variance, F.lit(0.0))))
-    return rows.withColumn("clock_z", F.when((c("n_ref") >= min_obs) & (c("dates_ref") >= min_dates) & (c("sd_ref") > 1e-9), (c("x") - c("mean_ref")) / c("sd_ref")))
+    return rows.withColumn("clock_z", F.when((c("n_ref") >= min_obs) & (c("dates_ref") >= min_dates) & (c("sd_ref") > 1e-6), (c("x") - c("mean_ref")) / c("sd_ref")))
 
 
 def mlat(bars: DataFrame) -> DataFrame:

@@ -206,7 +206,7 @@ a2 AS (SELECT entry_session, research_partition, median(abs(return_atr - p50)) A
   avg(pow(return_atr - mean, 3)) / pow(avg(pow(return_atr - mean, 2)), 1.5) AS skew FROM x JOIN a1 USING (entry_session, research_partition) WHERE return_atr IS NOT NULL GROUP BY ALL)
 SELECT entry_session, research_partition, n, {', '.join(f'{r(s if s != "iqr" else "p75 - p25")} AS {s}' for s in STATS)} FROM a1 JOIN a2 USING (entry_session, research_partition)""",
     "symmetry_grouping_sets": f"""{_LABELS}, g AS (SELECT entry_session, weekday, research_partition, count(return_atr) AS n, avg(return_atr) AS mean, avg(CASE WHEN return_atr > 0 THEN 1.0 WHEN return_atr <= 0 THEN 0.0 END) AS up_rate,
-avg(return_atr) FILTER (return_atr > 0) AS mean_up, avg(-return_atr) FILTER (return_atr < 0) AS mean_down FROM x GROUP BY GROUPING SETS ((), (entry_session), (weekday), (research_partition)))
+avg(return_atr) FILTER (return_atr > 0) AS mean_up, avg(-return_atr) FILTER (return_atr < 0) AS mean_down FROM x GROUP BY GROUPING SETS ((), (entry_session), (weekday), (research_partition)) HAVING count(return_atr) > 0)
 SELECT entry_session, weekday, research_partition, n, {', '.join(f'{r(s)} AS {s}' for s in ("mean", "up_rate", "mean_up", "mean_down"))}, {r('mean_up / nullif(mean_down, 0)')} AS tail_ratio FROM g""",
     "cost_thresholds": f"{_LABELS}, u AS ({_COSTS}) SELECT entry_session, n, cost, beyond, {r('beyond / n')} AS share FROM u",
     "unpivot_metrics": f"WITH {SECTION}, g AS (SELECT research_partition, avg(target) AS mean_target, min(target) AS min_target, max(target) AS max_target, avg(feature) AS mean_feature FROM s GROUP BY 1) SELECT research_partition, metric, {r('value', 4)} AS value FROM (UNPIVOT g ON mean_target, min_target, max_target, mean_feature INTO NAME metric VALUE value)",

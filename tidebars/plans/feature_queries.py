@@ -332,7 +332,7 @@ t AS (SELECT session, bin, sum(nd) AS n, sum(sd) AS s, sum(qd) AS q, count(*) AS
 j AS (SELECT x.*, t.n - coalesce(d.nd, 0) AS n_ref, t.dates - CASE WHEN d.nd IS NULL THEN 0 ELSE 1 END AS dates_ref, (t.s - coalesce(d.sd, 0)) / nullif(t.n - coalesce(d.nd, 0), 0) AS m, (t.q - coalesce(d.qd, 0)) / nullif(t.n - coalesce(d.nd, 0), 0) AS m2
       FROM x LEFT JOIN t USING (session, bin) LEFT JOIN d ON d.session = x.session AND d.bin = x.bin AND d.trade_date = x.trade_date),
 k AS (SELECT *, sqrt(greatest(m2 - m * m, 0.0)) AS sd_ref, n_ref >= 8 AND dates_ref >= 8 AS enough FROM j)
-SELECT product, bar_ts, bar_id, CAST(n_ref AS BIGINT) AS n_ref, round(CASE WHEN enough AND sd_ref > 1e-9 THEN (x - m) / sd_ref END, 6) + 0.0 AS tod_log_volume_z,
+SELECT product, bar_ts, bar_id, CAST(n_ref AS BIGINT) AS n_ref, round(CASE WHEN enough AND sd_ref > 1e-6 THEN (x - m) / sd_ref END, 6) + 0.0 AS tod_log_volume_z,
        round(CASE WHEN enough THEN exp(x - m) END, 6) + 0.0 AS tod_relative_volume FROM k
 """
 _ADJUST = """
@@ -344,7 +344,7 @@ t AS (SELECT bin, sum(nd) AS n2, sum(sd) AS s2, sum(qd) AS q2, count(*) AS d2 FR
 j AS (SELECT x.*, CASE WHEN dev THEN n1 ELSE n2 END AS n_ref, CASE WHEN dev THEN d1 ELSE d2 END AS dates_ref, CASE WHEN dev THEN s1 ELSE s2 END AS s, CASE WHEN dev THEN q1 ELSE q2 END AS q
       FROM x LEFT JOIN p ON p.bin = x.bin AND p.trade_date = x.trade_date LEFT JOIN t ON t.bin = x.bin),
 k AS (SELECT *, s / nullif(n_ref, 0) AS m, sqrt(greatest(q / nullif(n_ref, 0) - pow(s / nullif(n_ref, 0), 2), 0.0)) AS sd_ref FROM j)
-SELECT product, bar_ts, bar_id, round(CASE WHEN n_ref >= 20 AND dates_ref >= 5 AND sd_ref > 1e-9 THEN (x - m) / sd_ref END, 6) + 0.0 AS clock_z FROM k
+SELECT product, bar_ts, bar_id, round(CASE WHEN n_ref >= 20 AND dates_ref >= 5 AND sd_ref > 1e-6 THEN (x - m) / sd_ref END, 6) + 0.0 AS clock_z FROM k
 """
 _BOOL = ("momentum_alignment_5_30", "inside_bar", "outside_bar")
 _ALL_CTE = f"{_F}, {_DAY}, {_EXP_CTE}"

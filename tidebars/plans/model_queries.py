@@ -211,7 +211,7 @@ def ljung_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = bars.withColumn("x", c("ret") - mean)
     bars = bars.withColumns({f"x{k}": F.lag("x", k).over(by_run()) for k in range(1, 6)})
     wide = bars.agg(*[F.struct(F.sum(c("x") * c(f"x{k}")).alias("s"), F.count(f"x{k}").alias("pairs")).alias(f"k{k}") for k in range(1, 6)])
-    rows = wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), c(f"k{k}.s").alias("s"), c(f"k{k}.pairs").alias("pairs")) for k in range(1, 6)])).alias("x")).select("x.*")
+    rows = wide.select(F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), c(f"k{k}.s").alias("s"), c(f"k{k}.pairs").alias("pairs")) for k in range(1, 6)])).alias("x")).select("x.*").where("pairs > 0")
     rho = c("s") / (n * v)
     return rows.select("lag", "pairs", rounded(rho).alias("rho"), rounded(n * (n + 2) * rho * rho / c("pairs")).alias("term"))
 

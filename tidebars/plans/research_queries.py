@@ -129,6 +129,8 @@ def pca_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     rows = features.profile(features.prepared(event_bars(spark, sf_dir))).where("p_ret IS NOT NULL").select(array_to_vector("p_ret").alias("v"))
+    if rows.isEmpty():
+        return spark.createDataFrame([], "component int, share double")
     model = PCA(k=5, inputCol="v", outputCol="p").fit(rows)
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(model.explainedVariance.toArray())], "component int, share double")
 
@@ -142,6 +144,8 @@ def elastic_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir).where("research_partition = 'Development'").dropna(subset=[*names, "return_atr"])
     rows = VectorAssembler(inputCols=names, outputCol="x").transform(rows).select("x", "return_atr")
     out = []
+    if rows.isEmpty():
+        return spark.createDataFrame([], "alpha double, feature string, beta double")
     for alpha in (0.01, 0.05):
         fit = LinearRegression(featuresCol="x", labelCol="return_atr", regParam=alpha, elasticNetParam=0.5).fit(rows)
         out += [(alpha, n, float(b)) for n, b in zip(names, fit.coefficients, strict=True)]
