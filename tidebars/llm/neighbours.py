@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from tidebars.llm.store import materialize, shuffle_partitions, small_batches
 
 #: Neighbours a node keeps, nodes a search holds, entry vectors.
-DEGREE, BEAM, ENTRIES = 24, 96, 8
+DEGREE, BEAM, ENTRIES = 28, 224, 16
 #: Rounds of the descent at most, and the share of changed edges that ends it.
 ROUNDS, SETTLED = 6, 0.08
 #: Offers to each member of a group; members of a first block; rounds of first blocks.
 OFFERS, BLOCK, TABLES = 5, 192, 3
-HOPS = 8
+HOPS = 10
 
 
 def usable(vectors: DataFrame) -> DataFrame:
