@@ -14,8 +14,8 @@ from tidebars.llm.store import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    """Documents that the quality rules keep, without the lines that are frequent in their source."""
+    return quality.clean(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,13 @@ def test_run(spark, corpus):
             assert start == at
             at += length
         assert at == pieces[0][2]
+
+
+def test_quality_stage_removes_frequent_lines(spark):
+    rows = [(i, f"{' '.join(words(i, 60))}\nAll Rights  reserved here\n\n{' '.join(words(900 + i, 5))}", "en", "h", 0) for i in range(30)]
+    rows += [(100, f"{' '.join(words(100, 60))}\nall rights reserved here", "en", "other", 0), (5, *rows[5][1:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    want = [(d, t.replace("\nAll Rights  reserved here", "")) for d, t, *_ in rows]
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(want)
+    assert all(r["n_chars"] == len(r["text"]) for r in got)

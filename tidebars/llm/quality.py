@@ -2,8 +2,8 @@
 
 Normalised lines (ASCII lower case, white space as one space, trimmed) are hashed, and the distinct documents of
 each host that hold a line are counted; documents of the same text count once, so exact copies make no line
-frequent. A line above the host's limit is removed; a document that loses more than a set share of its words
-is depleted and rejected.
+frequent. A line above the host's limit is removed: judge() counts its words, clean() gives the text without it.
+A document that loses more than a set share of its words is depleted and rejected.
 
 Defined results: a null text has no words and fails; a null host is a host of its own; null and repeated
 doc_ids are judged row by row; an empty table gives no rows; other columns stay out of the way.
@@ -83,7 +83,7 @@ def _key() -> list[Column]:
 
 
 def removed_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """_id, _row, removed: words of each row's lines above the limits; only rows that have any."""
+    """_id, _row, removed, gone: words and hashes of each row's lines above the limits; only rows that have any."""
     text, host = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
     line = lambda x: _let(normalised(x), lambda y: F.struct(F.xxhash64(y).alias("line"), F.when(y == "", 0).otherwise(F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n")))
     lines = docs.select(*_key(), host.alias("host"), F.xxhash64(text).alias("doc"), F.posexplode(F.transform(F.split(text, "\n", -1), line)).alias("pos", "l"))
@@ -92,20 +92,32 @@ def removed_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float
     found = real.groupBy("host", "line").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") > line_docs)
     hosts = docs.select(host.alias("host"), F.xxhash64(text).alias("doc")).groupBy("host").agg(F.count_distinct("doc").alias("all_docs"))
     frequent = found.join(hosts, "host").where(F.col("docs") > line_share * F.col("all_docs")).select("host", "line")
-    hit = real.join(frequent, ["host", "line"]).groupBy("_id", "_row").agg(F.sum("n").alias("removed"))
+    hit = real.join(frequent, ["host", "line"]).groupBy("_id", "_row").agg(F.sum("n").alias("removed"), F.collect_set("line").alias("gone"))
     # rows that repeat share a key: what their lines add up to is shared out among them
     rows = docs.select(*_key()).groupBy("_id", "_row").agg(F.count("*").alias("rows"))
-    return hit.join(rows, ["_id", "_row"]).select("_id", "_row", (F.col("removed") / F.col("rows")).cast("long").alias("removed"))
+    return hit.join(rows, ["_id", "_row"]).select("_id", "_row", (F.col("removed") / F.col("rows")).cast("long").alias("removed"), "gone")
 
 
-def judge(docs: DataFrame, depleted: float = DEPLETED) -> DataFrame:
-    """docs with their measures, removed (words of frequent lines) and kept."""
+def _judged(docs: DataFrame, depleted: float, **limits) -> DataFrame:
+    """judge() with _gone, the hashes of the row's frequent lines (null if it has none)."""
     rows = measures(docs.withColumns({"_id": _key()[0], "_row": _key()[1]}))
-    rows = rows.join(removed_words(docs), ["_id", "_row"], "left").drop("_id", "_row")
+    rows = rows.join(removed_words(docs, **limits).withColumnRenamed("gone", "_gone"), ["_id", "_row"], "left").drop("_id", "_row")
     rows = rows.withColumn("removed", F.coalesce("removed", F.lit(0).cast("long")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("removed") <= depleted * F.col("n_words")))
 
 
+def judge(docs: DataFrame, depleted: float = DEPLETED) -> DataFrame:
+    """docs with their measures, removed (words of frequent lines) and kept."""
+    return _judged(docs, depleted).drop("_gone")
+
+
+def clean(docs: DataFrame, depleted: float = DEPLETED, **limits) -> DataFrame:
+    """The kept rows of docs, their text without lines above the limits; other texts stay as they are."""
+    rows = _judged(docs, depleted, **limits).where("kept")
+    left = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("_gone"), F.xxhash64(normalised(x))))
+    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+
+
 def report(docs: DataFrame) -> DataFrame:
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     return judge(narrow).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed")
