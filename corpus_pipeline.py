@@ -14,8 +14,11 @@ from tidebars.llm.store import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines that are frequent in their source."""
-    return quality.clean(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents that the quality rules keep, without the lines that are frequent in their source.
+
+    The count of documents alone decides: a share of the source would spare lines of many documents in a large one.
+    """
+    return quality.clean(docs, line_share=0.0).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

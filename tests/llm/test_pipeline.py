@@ -101,3 +101,10 @@ def test_quality_stage_removes_frequent_lines(spark):
     want = [(d, t.replace("\nAll Rights  reserved here", "")) for d, t, *_ in rows]
     assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(want)
     assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def test_quality_stage_removes_lines_of_a_small_share(spark):
+    rows = [(i, " ".join(words(i, 60)) + ("\nsite footer" if i < 25 else ""), "en", "h", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.quality_rules(spark, docs, "").collect()
+    assert len(got) == 400 and not any("site footer" in r["text"] for r in got)

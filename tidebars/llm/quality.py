@@ -90,8 +90,10 @@ def removed_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float
     lines = lines.select("_id", "_row", "host", "doc", "pos", "l.line", "l.n")
     real = lines.where("n > 0")
     found = real.groupBy("host", "line").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") > line_docs)
-    hosts = docs.select(host.alias("host"), F.xxhash64(text).alias("doc")).groupBy("host").agg(F.count_distinct("doc").alias("all_docs"))
-    frequent = found.join(hosts, "host").where(F.col("docs") > line_share * F.col("all_docs")).select("host", "line")
+    if line_share:
+        hosts = docs.select(host.alias("host"), F.xxhash64(text).alias("doc")).groupBy("host").agg(F.count_distinct("doc").alias("all_docs"))
+        found = found.join(hosts, "host").where(F.col("docs") > line_share * F.col("all_docs"))
+    frequent = found.select("host", "line")
     hit = real.join(frequent, ["host", "line"]).groupBy("_id", "_row").agg(F.sum("n").alias("removed"), F.collect_set("line").alias("gone"))
     # rows that repeat share a key: what their lines add up to is shared out among them
     rows = docs.select(*_key()).groupBy("_id", "_row").agg(F.count("*").alias("rows"))
