@@ -55,3 +55,15 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
     assert registry.queries()[name](spark, SF).count() >= 0
+
+
+def test_boot_prop_draws_from_all_days(spark):
+    from tidebars.operators import sequential
+    from tidebars.plans import research_queries
+    from tidebars.sources.bars import daily_prices
+
+    rows = daily_prices(spark, SF).where("high > low AND l_returnflag = 'N'").orderBy("trade_date").selectExpr("round(800 * (close - open) / (high - low), 2) AS pnl").toPandas()
+    days = rows["pnl"].to_numpy()
+    draws = [days[np.random.default_rng(1000 + i).integers(0, len(days), 120)] for i in range(2000)]
+    want = pd.Series([sequential.evaluate_account(x, sequential.Policy("trailing"))[0] for x in draws]).value_counts().to_dict()
+    assert {r["outcome"]: r["n"] for r in research_queries.boot_prop(spark, SF).collect()} == want

@@ -91,21 +91,24 @@ def viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def boot_prop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of resampled accounts by outcome: replicates are rows, dealt over the cluster, each with its own seed."""
+    """Share of resampled accounts by outcome: replicates are rows, dealt over the cluster, each with its own seed.
+
+    All days are in the pool: one number a day.
+    """
     import pandas as pd
 
-    pool = [x[0] for x in daily_prices(spark, sf_dir).where("high > low AND l_returnflag = 'N'").orderBy("trade_date").select(F.round(800 * (c("close") - c("open")) / (c("high") - c("low")), 2)).limit(1000).collect()]
+    pool = [x[0] for x in daily_prices(spark, sf_dir).where("high > low AND l_returnflag = 'N'").orderBy("trade_date").select(F.round(800 * (c("close") - c("open")) / (c("high") - c("low")), 2)).collect()]
     days, policy = np.array(pool), sequential.Policy("trailing")
 
     def run(batches):
         for pdf in batches:
             out = []
             for i in pdf["id"].tolist():
-                draw = np.random.default_rng(1000 + i).integers(0, len(days), 60)
+                draw = np.random.default_rng(1000 + i).integers(0, len(days), 120)
                 out.append((i, sequential.evaluate_account(days[draw], policy)[0]))
             yield pd.DataFrame(out, columns=["replicate", "outcome"])
 
-    return spark.range(400).mapInPandas(run, "replicate long, outcome string").groupBy("outcome").agg(F.count("*").alias("n"))
+    return spark.range(2000).mapInPandas(run, "replicate long, outcome string").groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
