@@ -67,3 +67,16 @@ def test_boot_prop_draws_from_all_days(spark):
     draws = [days[np.random.default_rng(1000 + i).integers(0, len(days), 120)] for i in range(2000)]
     want = pd.Series([sequential.evaluate_account(x, sequential.Policy("trailing"))[0] for x in draws]).value_counts().to_dict()
     assert {r["outcome"]: r["n"] for r in research_queries.boot_prop(spark, SF).collect()} == want
+
+
+def test_hash_chain_covers_all_zones(spark):
+    from pyspark.sql import functions as F
+
+    from tidebars.operators import events
+    from tidebars.plans import model_queries
+    from tidebars.sources.bars import event_bars
+
+    zones = events.gap_zones(event_bars(spark, SF)).groupBy("product", "trade_date").agg(F.count("*").alias("n")).collect()
+    want = (sum(r["n"] for r in zones), len(zones))
+    assert want[0] > 20 and max(r["n"] for r in zones) > 1
+    assert tuple(model_queries.hash_chain(spark, SF).first()) == want

@@ -281,13 +281,23 @@ def guarded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chained log of the first zones, with one record changed: what the check reports."""
-    zones = events.gap_zones(event_bars(spark, sf_dir)).select("zone_id", "direction", "middle_bar").orderBy("middle_bar").limit(20).collect()
-    records = [{"zone": z["zone_id"], "direction": z["direction"], "bar": z["middle_bar"]} for z in zones]
-    rows = [(i, governed.canonical({k: r[k] for k in ("zone", "direction", "bar")}), r["previous_hash"], r["record_hash"]) for i, r in enumerate(governed.chain(records))]
-    rows = [(i, p.replace("bull", "bear") if i == 7 else p, a, b) for i, p, a, b in rows]
-    log = spark.createDataFrame(rows, "seq long, payload string, previous_hash string, record_hash string")
-    return log.agg(F.count("*").alias("records")).crossJoin(governed.broken_links(log).agg(F.count("*").alias("broken")))
+    """A log of all zones, chained by product and date, with the first direction of each chain turned round: what the check reports."""
+    import pandas as pd
+
+    keys = ["product", "trade_date"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("middle_bar")
+        records = [{"zone": z, "direction": d, "bar": int(b)} for z, d, b in zip(pdf["zone_id"], pdf["direction"], pdf["middle_bar"], strict=True)]
+        rows = [(i, governed.canonical(x), r["previous_hash"], r["record_hash"]) for i, (x, r) in enumerate(zip(records, governed.chain(records), strict=True))]
+        turned = governed.canonical(records[0] | {"direction": "bear" if records[0]["direction"] == "bull" else "bull"})
+        rows = [(i, p if i else turned, a, b) for i, p, a, b in rows]
+        out = pd.DataFrame(rows, columns=["seq", "payload", "previous_hash", "record_hash"])
+        return out.assign(product=pdf["product"].iloc[0], trade_date=pdf["trade_date"].iloc[0])
+
+    zones = events.gap_zones(event_bars(spark, sf_dir)).select(*keys, "zone_id", "direction", "middle_bar")
+    log = zones.groupBy(*keys).applyInPandas(run, "product string, trade_date date, seq long, payload string, previous_hash string, record_hash string")
+    return log.agg(F.count("*").alias("records")).crossJoin(governed.broken_links(log, keys=keys).agg(F.count("*").alias("broken")))
 
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:

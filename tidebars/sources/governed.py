@@ -127,13 +127,15 @@ def chain(records: list[dict], previous: str = "") -> list[dict]:
     return out
 
 
-def broken_links(log: DataFrame, order: str = "seq") -> DataFrame:
+def broken_links(log: DataFrame, order: str = "seq", keys: list[str] | None = None) -> DataFrame:
     """Rows of a decision log (seq, payload, previous_hash, record_hash) whose hash or link doesn't hold.
 
-    The link is looked up by the number before it, an equi-join, so a long log needs no ordered pass.
+    The link is looked up by the number before it, an equi-join, so a long log needs no ordered pass. With keys, each
+    of their values (none null) has a chain of its own.
     """
-    before = log.select((c(order) + 1).alias(order), c("record_hash").alias("_before"))
-    rows = log.join(before, order, "left").withColumn("_own", F.sha2(F.concat("previous_hash", "payload"), 256))
+    keys = keys or []
+    before = log.select(*keys, (c(order) + 1).alias(order), c("record_hash").alias("_before"))
+    rows = log.join(before, [*keys, order], "left").withColumn("_own", F.sha2(F.concat("previous_hash", "payload"), 256))
     return rows.where((c("_own") != c("record_hash")) | (c("previous_hash") != F.coalesce("_before", F.lit("")))).drop("_before", "_own")
 
 
