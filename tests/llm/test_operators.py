@@ -275,6 +275,17 @@ def test_mixing_reaches_targets(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_rare_categories(spark):
+    rows = [(i, "x " * 200, "en", "big") for i in range(300)] + [(1000 + i, "x " * 200, "en", f"s{i // 2}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    own = {r["source"]: r["p"] for r in mixing.mix(df).groupBy("source").agg(F.sum("probability").alias("p")).collect()}
+    # 300 sources of 2 documents and one of 300, to the power of 0.9
+    assert np.isclose(own["big"] / own["s7"], 150**mixing.ALPHA, rtol=1e-3)
+    out = mixing.mix(df, targets={"source": {"big": 1.0, "s7": 1.0}})
+    got = {r["source"]: r["p"] for r in out.groupBy("source").agg(F.sum("probability").alias("p")).collect()}
+    assert np.isclose(got["big"], got["s7"], rtol=1e-3) and got["s7"] > 0 and got["s8"] == 0
+
+
 def test_licences_match_brute_force(spark):
     texts = [None, "", "x the MIT License, and GNU general public license; Apache-license CC BY-NC 4.0", "mit mit license mit license", "gnu general public", "All rights reserved", licences.TEMPLATES[0][1].upper().replace(" COPY ", " fair copy "), "ümit license mit licenseé"]
     got = licences.scan(spark.createDataFrame([(i % 3, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, row long")).collect()

@@ -4,8 +4,9 @@ Documents fall into cells (source, language, topic). Token weights of the cells
 target marginals; a cell's fitted weight over its own weight, over the largest such ratio, is the probability of
 its documents. In expectation the sample has the target shares, and no probability is clipped.
 
-A category with less than min_share of all tokens goes into the pool "*", so a dimension has at most
-1 / min_share + 1 categories and the table of cells is bounded by the parameters, whatever the corpus holds.
+Every category has its own target; with min_share, categories below that share of all tokens go into the pool "*",
+but for those that a target names. Marginals are tables keyed by category, and cells are raked by source where they
+lie and by language and topic in their table of sums, so no step needs all cells in one place.
 Targets are the shares to the power alpha, unless given as a mapping.
 
 Defined results: a null source or language is the category ""; a null or empty text weighs one token; whether a
@@ -22,7 +23,9 @@ from tidebars.llm.quality import words
 from tidebars.llm.store import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, ALPHA, MIN_SHARE, SEED = 8, 0.9, 0.005, "mix-1"
+ROUNDS, ALPHA, SEED = 8, 0.9, "mix-1"
+#: Shares below this are pooled by the SQL of op4_mixing; fit() pools none unless asked to.
+MIN_SHARE = 0.005
 _HEX = 12
 
 
@@ -43,43 +46,65 @@ def cells_of(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "_topic": default_topic(text, F.col("_tokens"))})
 
 
-def fit(cells: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA, min_share: float = MIN_SHARE, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def _marginal(cells: DataFrame, d: str, alpha: float, min_share: float, given: dict[str, float] | None) -> DataFrame:
+    """_d, g_d, t_d: the group of each category of a dimension and the group's target."""
+    own = cells.groupBy(f"_{d}").agg(F.sum("tokens").alias("own"))
+    category = F.col(f"_{d}")
+    if min_share:
+        total = cells.agg(F.sum("tokens").alias("total"))
+        pooled = (F.col("own") / F.col("total") < min_share) & ~category.isin(list(given or {}))
+        own = own.join(F.broadcast(total)).withColumn(f"g_{d}", F.when(pooled, "*").otherwise(category))
+    else:
+        own = own.withColumn(f"g_{d}", category)
+    groups = own.groupBy(f"g_{d}").agg(F.sum("own").cast("double").alias("own"))
+    if given:
+        named = groups.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"g_{d} string, t double")
+        groups = groups.join(named, f"g_{d}", "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
+    else:
+        groups = groups.withColumn("t", F.pow("own", F.lit(alpha)))
+    groups = materialize(groups.select(f"g_{d}", "t"), f"groups-{d}")
+    groups = groups.join(F.broadcast(groups.agg(F.sum("t").alias("all_t")))).select(f"g_{d}", (F.col("t") / F.col("all_t")).alias(f"t_{d}"))
+    return own.select(f"_{d}", f"g_{d}").join(groups, f"g_{d}")
+
+
+def fit(cells: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA, min_share: float = 0.0, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """_source, _lang, _topic, probability from the same with tokens.
 
-    The cells stand in one partition, which satisfies every window below: no exchange in any round.
+    A cell's weight is own * f(lang, topic) times what the source's target asks for, so between rounds only the table
+    of f is kept.
     """
-    cells = cells.coalesce(1)
-    names = {d: f"_{d}" for d in DIMENSIONS}
-    everything = Window.partitionBy(F.lit(0))
+    cells = materialize(cells, "cells")
     for d in DIMENSIONS:
-        share = F.sum("tokens").over(Window.partitionBy(names[d])) / F.sum("tokens").over(everything)
-        cells = cells.withColumn(f"g_{d}", F.when(share < min_share, "*").otherwise(F.col(names[d])))
-    groups = [f"g_{d}" for d in DIMENSIONS]
-    pooled = cells.groupBy(*groups).agg(F.sum("tokens").cast("double").alias("own")).coalesce(1)
-    for d in DIMENSIONS:
-        over = Window.partitionBy(f"g_{d}")
-        if targets and d in targets:
-            given = F.create_map(*[F.lit(x) for pair in targets[d].items() for x in pair])
-            pooled = pooled.withColumn(f"t_{d}", F.coalesce(given[F.col(f"g_{d}")], F.lit(0.0)))
-        else:
-            pooled = pooled.withColumn(f"t_{d}", F.pow(F.sum("own").over(over), F.lit(alpha)))
-        pooled = _normalised(pooled, d)
-    fitted = pooled.withColumn("w", F.col("own"))
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            total = F.sum("w").over(Window.partitionBy(f"g_{d}"))
-            fitted = fitted.withColumn("w", F.coalesce(F.try_divide(F.col("w") * F.col(f"t_{d}"), total), F.lit(0.0)))
-    ratio = fitted.withColumn("ratio", F.col("w") / F.col("own"))
-    ratio = ratio.withColumn("probability", F.round(F.coalesce(F.try_divide(F.col("ratio"), F.max("ratio").over(everything)), F.lit(0.0)), 9))
-    return cells.join(ratio.select(*groups, "probability"), groups).select(*names.values(), "probability")
-
-
-def _normalised(pooled: DataFrame, d: str) -> DataFrame:
-    """Targets that add up to 1; each category counts once, whatever number of cells it has."""
-    n = F.count("*").over(Window.partitionBy(f"g_{d}"))
-    pooled = pooled.withColumn("_n", n)
-    total = F.sum(F.col(f"t_{d}") / F.col("_n")).over(Window.partitionBy(F.lit(0)))
-    return pooled.withColumn(f"t_{d}", F.col(f"t_{d}") / total).drop("_n")
+        cells = cells.join(_marginal(cells.select(*[f"_{n}" for n in DIMENSIONS], "tokens"), d, alpha, min_share, (targets or {}).get(d)), f"_{d}")
+    keys = [f"_{d}" for d in DIMENSIONS]
+    cells = materialize(cells, "cells")
+    groups = [f"{x}_{d}" for x in "gt" for d in DIMENSIONS]
+    pooled = materialize(cells.groupBy(*groups).agg(F.sum("tokens").cast("double").alias("own")), "groups")
+    raked = lambda w, d: F.coalesce(F.try_divide(F.col(w) * F.col(f"t_{d}"), F.sum(w).over(Window.partitionBy(f"g_{d}"))), F.lit(0.0))
+    pair = ["g_lang", "g_topic"]
+    by_source = lambda f: pooled.join(f, pair).withColumn("w", F.col("own") * F.col("f")).withColumn("w", raked("w", "source"))
+    sums = pooled.select(*pair, "t_lang", "t_topic").distinct().withColumns({"f": F.lit(1.0), "ratio": F.lit(1.0)})
+    factors = materialize(sums.select(*pair, "f", "ratio"), "factors")
+    for i in range(rounds):
+        sums = by_source(factors.select(*pair, "f")).groupBy(*pair).agg(F.sum("w").alias("w"), F.first("f").alias("f"), F.first("t_lang").alias("t_lang"), F.first("t_topic").alias("t_topic"))
+        sums = _factor(_factor(sums.withColumn("ratio", F.lit(1.0)), "lang"), "topic")
+        last, factors = factors, materialize(sums.select(*pair, (F.col("f") * F.col("ratio")).alias("f"), "ratio"), "factors")
+    if rounds:
+        fitted = by_source(last.select(*pair, "f")).drop("f").join(factors.select(*pair, "ratio"), pair)
+        fitted = fitted.withColumn("ratio", F.col("w") / F.col("own") * F.col("ratio"))
+    else:
+        fitted = pooled.withColumn("ratio", F.lit(1.0))
+    ratio = materialize(fitted.select("g_source", *pair, "ratio"), "ratios")
+    most = F.broadcast(ratio.agg(F.max("ratio").alias("most")))
+    ratio = ratio.join(most).withColumn("probability", F.round(F.coalesce(F.try_divide(F.col("ratio"), F.col("most")), F.lit(0.0)), 9))
+    return cells.join(ratio.select("g_source", *pair, "probability"), ["g_source", *pair]).select(*keys, "probability")
+
+
+def _factor(sums: DataFrame, d: str) -> DataFrame:
+    """w of (lang, topic) raked to a dimension's targets, ratio carrying what that multiplies the cells by."""
+    total = F.sum("w").over(Window.partitionBy(f"g_{d}"))
+    step = F.coalesce(F.try_divide(F.col(f"t_{d}"), total), F.lit(0.0))
+    return sums.withColumn("_step", step).withColumns({"w": F.col("w") * F.col("_step"), "ratio": F.col("ratio") * F.col("_step")}).drop("_step")
 
 
 def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
