@@ -236,6 +236,21 @@ def test_html_without_article_inherits_from_neighbours():
     assert html_text.main_text(page) == f"{long}\nTiny.\n{long}"
 
 
+@pytest.mark.parametrize("wrap", ["class='overflow-hidden'", "style='overflow:hidden'", "aria-hidden=false", "class='layout has-sidebar'", "class='post no-comments'", "class='single comments-open'", "class='entry share-enabled'", "class='layout-sidebar'", "class='widget'"])
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_html_keeps_wrapped_text(wrap, tag):
+    long = "This is the text of a block that is long, with many of the words which are common in the language, and it goes on for a while so that it is decided."
+    page = f"<body><nav><a href=1>One</a></nav><div {wrap}><{tag}><p>{long}</p><p>{long}</p></{tag}></div><div class='site-footer'><p>{long}</p></div></body>"
+    assert html_text.main_text(page) == f"{long}\n{long}"
+
+
+@pytest.mark.parametrize("bad", ["hidden", "hidden=''", "aria-hidden='true'", "style='color:red; display: none'", "id=comments class='comments-area'", "class='related-posts'"])
+def test_html_drops_hidden_and_named(bad):
+    long = "This is the text of a block that is long, with many of the words which are common in the language, and it goes on for a while so that it is decided."
+    page = f"<body><div><p>{long}</p><p>{long}</p></div><div {bad}><article><p>Not of it: {long}</p></article></div></body>"
+    assert html_text.main_text(page) == f"{long}\n{long}"
+
+
 def test_html_rows(spark):
     got = html_text.extract(spark.createDataFrame([(1, "u", None), (1, None, ""), (None, "u", "<article><p>a&nbsp;b</p></article>")], "page_id long, url string, html string")).collect()
     assert Counter(map(tuple, got)) == Counter([(1, "u", "", 0), (1, None, "", 0), (None, "u", "a b", 3)])

@@ -5,6 +5,9 @@ sidebars, notices, adverts, forms, comments; an article or main element if the p
 share of stop words and its share of link text. Blocks too short, or otherwise undecided, get the label of their
 nearest decided neighbours in pass two; inside the page's article a good neighbour on either side is enough.
 
+A container that is bad by its names alone is let off if it holds the page's main element, or most of the page's text
+while the hint is only part of a name, or most of the text or the first article while no block outside is good.
+
 Defined results: null or empty html has an empty text and 0 characters; rows that repeat a page_id, or have
 none, are extracted row by row; columns other than page_id, url and html are ignored.
 """
@@ -25,11 +28,14 @@ _TOKEN = re.compile(
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>|<[!?][^>]*>",
     re.S | re.I,
 )
-_HINT = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _BAD_NAME = re.compile(
-    r"(?:^|[\s_\-\"'])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|alert|popup|modal|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|complementary|footer|contentinfo|masthead|toolbar|pagination|pager|share|social|related|recommended|newsletter|subscribe|signup|login|search|comments?|disqus|replies|respond|widget|form)(?:$|[\s_\-\"'\d])",
+    r"(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|alert|popup|modal|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|complementary|footer|contentinfo|masthead|toolbar|pagination|pager|share|social|related|recommended|newsletter|subscribe|signup|login|search|comments?|disqus|replies|respond|widget|form)\d*",
     re.I,
 )
+#: Parts of a name that say what a container has, or how it is set, not what it is.
+_STATE = frozenset("has have no not with without is open opened closed enabled disabled on off active count".split())
 _BAD_TAGS = frozenset("nav footer aside form button dialog menu head".split())
 _MAIN_TAGS = frozenset(("article", "main"))
 _BLOCKS = frozenset(
@@ -48,21 +54,54 @@ _WORD = re.compile(r"[^\W\d_]+")
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.12, 0.2, 0.33
 
 
+class Named:
+    """A container that is bad by its names."""
+
+    __slots__ = ("article", "hint", "main")
+
+    def __init__(self, hint: str):
+        self.hint, self.article, self.main = hint, False, False
+
+
 class Block:
     """Text between two block boundaries: pieces, link characters, context."""
 
-    __slots__ = ("heading", "label", "main", "links", "text")
+    __slots__ = ("heading", "label", "main", "links", "named", "text")
 
-    def __init__(self, text: str, links: int, bad: bool, main: int, heading: bool):
-        self.text, self.main, self.heading = text, main, heading
+    def __init__(self, text: str, links: int, bad: bool, main: int, heading: bool, named: tuple[Named, ...]):
+        self.text, self.main, self.heading, self.named = text, main, heading, named
         self.links = links / max(1, len(text))
         self.label = "bad" if bad else ""
 
 
+def attributes(text: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, value in _ATTR.findall(text):
+        found.setdefault(name.lower(), value.strip("\"'"))
+    return found
+
+
+def hides(attrs: dict[str, str]) -> bool:
+    return attrs.get("hidden", "until-found").lower() != "until-found" or attrs.get("aria-hidden", "").lower() == "true" or bool(_HIDES.search(attrs.get("style", "")))
+
+
+def hint(attrs: dict[str, str]) -> str:
+    """"whole" if a class, id or role is a hint word, "part" if one has a hint word between - or _, else ""."""
+    found = ""
+    for name in " ".join(attrs.get(n, "") for n in ("class", "id", "role")).split():
+        if name.lower() == "hidden" or _BAD_NAME.fullmatch(name):
+            return "whole"
+        parts = re.split("[-_]", name.split("--")[0])
+        if any(_BAD_NAME.fullmatch(x) for x in parts) and not any(x.lower() in _STATE for x in parts):
+            found = "part"
+    return found
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, Named | None]] = []
+    named: list[Named] = []
     bad = main = 0
     n_main = 0
     in_link = heading = False
@@ -74,9 +113,17 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(html.unescape("".join(x for x, _ in pieces)).split())
             if text:
                 links = sum(len(" ".join(html.unescape(x).split())) for x, linked in pieces if linked)
-                out.append(Block(text, links, bad > 0, n_main if main else 0, heading))
+                out.append(Block(text, links, bad > 0, n_main if main else 0, heading, tuple(named)))
             pieces = []
 
+    def pop() -> str:
+        nonlocal bad, main
+        t, was_bad, was_main, was_named = stack.pop()
+        bad, main = bad - was_bad, main - was_main
+        if was_named:
+            named.pop()
+        return t
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             pieces.append((page[at : m.start()], in_link))
@@ -93,27 +140,32 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         if m["close"]:
-            if any(t == tag for t, _, _ in stack):
+            if any(x[0] == tag for x in stack):
                 while stack:
-                    t, was_bad, was_main = stack.pop()
-                    bad, main = bad - was_bad, main - was_main
-                    if t == tag:
+                    if pop() == tag:
                         break
             in_link = False
             heading = False
             continue
         if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == tag:
-            _, was_bad, was_main = stack.pop()
-            bad, main = bad - was_bad, main - was_main
+            pop()
         if tag in _VOID:
             continue
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        names = " ".join(x.strip("\"'") for x in _HINT.findall(m["attrs"] or "")) if m["attrs"] else ""
-        is_bad = tag in _BAD_TAGS or tag == "header" and not main or tag not in _MAIN_TAGS and tag not in ("html", "body") and bool(names and _BAD_NAME.search(names)) or bool(m["attrs"] and re.search(r"\bhidden\b(?!\s*=\s*\"?until)|display\s*:\s*none", m["attrs"], re.I) and tag not in ("html", "body"))
-        is_main = tag in _MAIN_TAGS or 'role="main"' in (m["attrs"] or "")
+        attrs = attributes(m["attrs"]) if m["attrs"] else {}
+        is_bad = tag in _BAD_TAGS or tag == "header" and not main or tag not in ("html", "body") and hides(attrs)
+        hinted = hint(attrs) if attrs and not is_bad and tag not in _MAIN_TAGS and tag not in ("html", "body") else ""
+        is_main = tag in _MAIN_TAGS or attrs.get("role", "").lower() == "main"
         if is_main and not main:
             n_main += 1
-        stack.append((tag, is_bad, is_main))
+        own = Named(hinted) if hinted else None
+        if own:
+            named.append(own)
+        if is_main and not bad:
+            for x in named:
+                x.main |= tag != "article"
+                x.article |= n_main == 1
+        stack.append((tag, is_bad, is_main, own))
         bad, main = bad + is_bad, main + is_main
     if at < len(page):
         pieces.append((page[at:], in_link))
@@ -121,17 +173,47 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def dense(b: Block, stops: float) -> bool:
+    return len(b.text) >= SHORT and stops >= STOP_HIGH or len(b.text) >= LONG and stops >= STOP_LOW
+
+
+def judge_names(found: list[Block]) -> None:
+    """Blocks in a container with a bad name are bad, unless the container is let off."""
+    weights: dict[Named, float] = {}
+    total = 0.0
+    for b in found:
+        if b.label:
+            continue
+        weight = len(b.text) * (1 - min(1.0, b.links))
+        total += weight
+        for x in b.named:
+            weights[x] = weights.get(x, 0.0) + weight
+    if not weights:
+        return
+    good = any(not b.label and not b.named and b.links <= LINKS and dense(b, stop_share(b.text)) for b in found)
+    most = {x for x, weight in weights.items() if 2 * weight > total}
+    off = {x for x in weights if x.main or x in most and x.hint == "part" or not good and (x in most or x.article)}
+    for b in found:
+        if any(x not in off for x in b.named):
+            b.label = "bad"
+
+
 def classify(found: list[Block]) -> None:
     """Both passes; every block ends as good or bad."""
+    judge_names(found)
     has_main = any(b.main and b.label != "bad" for b in found)
     for b in found:
         if b.label == "bad":
             continue
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        stops = stop_share(b.text)
         if has_main and not b.main or b.links > LINKS and not b.heading:
             b.label = "bad"
-        elif len(b.text) >= SHORT and stops >= STOP_HIGH or len(b.text) >= LONG and stops >= STOP_LOW:
+        elif dense(b, stops):
             b.label = "good"
         elif len(b.text) >= LONG and not b.main and stops < STOP_LOW / 2:
             b.label = "bad"
