@@ -80,3 +80,24 @@ def test_hash_chain_covers_all_zones(spark):
     want = (sum(r["n"] for r in zones), len(zones))
     assert want[0] > 20 and max(r["n"] for r in zones) > 1
     assert tuple(model_queries.hash_chain(spark, SF).first()) == want
+
+
+@pytest.mark.parametrize("name", ["bootstrap_ci", "boot_stationary", "headline_ci"])
+def test_intervals_have_2000_replicates(spark, name):
+    from tidebars.operators import inference
+    from tidebars.plans import model_queries, research_queries
+
+    if name == "headline_ci":
+        rows, key, day, x = research_queries._labelled(spark, SF).groupBy("entry_session", "trade_date").agg({"return_atr": "avg"}), "entry_session", "trade_date", "avg(return_atr)"
+    else:
+        rows, key, day, x = model_queries._pnl(spark, SF), "account", "trade_date", "r"
+    rows = rows.toPandas()
+    for row in registry.queries()[name](spark, SF).collect():
+        own = rows[rows[key].isna() if row[key] is None else rows[key] == row[key]].sort_values(day)[x].to_numpy(float)
+        if name == "boot_stationary":
+            want = np.quantile(own[inference.stationary_indices(len(own), 2000, 0.2, 11)].mean(axis=1), [0.025, 0.975])
+        else:
+            want = inference.bootstrap_mean_ci(own[~np.isnan(own)], 7 if name == "bootstrap_ci" else 5, 2000)
+        assert np.allclose([row["lo"], row["hi"]], want, rtol=1e-12)
+        if name == "bootstrap_ci":
+            assert row["p"] == inference.bootstrap_p(own, 7, 2000)

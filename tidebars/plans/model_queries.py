@@ -128,12 +128,12 @@ def challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = {"days": "long", "mean": "double", "lo": "double", "hi": "double", "p": "double"}
-    return inference.by_cell(_pnl(spark, sf_dir), ["account"], "r", "trade_date", fields, lambda x: (len(x), float(x.mean()), *inference.bootstrap_mean_ci(x, 7, 500), inference.bootstrap_p(x, 7, 500)))
+    return inference.by_cell(_pnl(spark, sf_dir), ["account"], "r", "trade_date", fields, lambda x: (len(x), float(x.mean()), *inference.bootstrap_mean_ci(x, 7), inference.bootstrap_p(x, 7)))
 
 
 def boot_stationary(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(x: np.ndarray):
-        means = x[inference.stationary_indices(len(x), 200, 0.2, 11)].mean(axis=1)
+        means = x[inference.stationary_indices(len(x), 2000, 0.2, 11)].mean(axis=1)
         return (len(x), *np.quantile(means, [0.025, 0.975]).tolist())
 
     return inference.by_cell(_pnl(spark, sf_dir), ["account"], "r", "trade_date", {"days": "long", "lo": "double", "hi": "double"}, run)

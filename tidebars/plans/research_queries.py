@@ -123,7 +123,7 @@ def equity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def headline_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily means by session with bootstrap intervals, from one pivoted daily table."""
     daily = _labelled(spark, sf_dir).groupBy("entry_session", "trade_date").agg(F.avg("return_atr").alias("m"))
-    return inference.by_cell(daily, ["entry_session"], "m", "trade_date", {"days": "long", "mean": "double", "lo": "double", "hi": "double"}, lambda x: (len(x), float(np.nanmean(x)), *inference.bootstrap_mean_ci(x[~np.isnan(x)], 5, 500)))
+    return inference.by_cell(daily, ["entry_session"], "m", "trade_date", {"days": "long", "mean": "double", "lo": "double", "hi": "double"}, lambda x: (len(x), float(np.nanmean(x)), *inference.bootstrap_mean_ci(x[~np.isnan(x)], 5)))
 
 
 def pca_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
