@@ -218,3 +218,23 @@ def test_library_runs_without_the_llm_folder(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'rolling_atr' in q and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_zero_prices_and_volumes_give_null(spark):
+    """Bars with low = 0, volume 0 or no range have NULL where a ratio or a logarithm has no value; nothing raises."""
+    bars = make_bars(spark, 130, flat=True)
+    bars = bars.withColumns({"low": F.when(F.col("bar_id") % 7 == 3, 0.0).otherwise(F.col("low")), "close": F.when(F.col("bar_id") == 100, 0.0).otherwise(F.col("close")), "volume": F.when(F.col("bar_id") % 11 == 5, 0).otherwise(F.col("volume"))})
+    out = features.mlat(features.prepared(bars)).toPandas()
+    assert len(out) == 130 and out["pk"].isna().sum() >= 18 and out["parkinson_volatility_30"].isna().all()
+    rows = labels.labelled(features.prepared(bars), 4).toPandas()
+    assert len(rows) == 130 and rows["return_bps"].isna().any()
+    whole = features.experimental(features.trend(features.session_state(features.vwap_state(features.prepared(bars)))))
+    assert whole.count() == 130 and not np.isinf(whole.select("distance_from_research_day_vwap_atr").toPandas().astype(float)).any().any()
+
+
+def test_stationary_blocks():
+    at = inference.stationary_indices(50, 400, 0.2, 3)
+    assert at.shape == (400, 50) and at.min() >= 0 and at.max() == 49
+    follows = (at[:, 1:] == (at[:, :-1] + 1) % 50).mean()
+    assert abs(follows - (0.8 + 0.2 / 50)) < 0.01 and np.bincount(at.ravel()).std() < 0.2 * 400
+    assert (inference.stationary_indices(1, 3, 0.5, 1) == 0).all()

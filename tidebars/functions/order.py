@@ -47,3 +47,9 @@ def exact_quantiles(rows: DataFrame, x: str, qs: list[float]) -> DataFrame:
     pick = lambda p: F.max(F.when(inside(p), c("_x")))
     out = hit.groupBy("q", "_at", "_lo").agg(pick("_lo").alias("_a"), pick("_hi").alias("_b"))
     return out.select("q", (c("_a") + (c("_at") - c("_lo")) * (c("_b") - c("_a"))).alias("value"))
+
+
+def edges_of(rows: DataFrame, x: str, qs: list[float], name: str = "edges") -> DataFrame:
+    """One row, an array of the exact quantiles of x in the order of qs; an empty array where x has no value."""
+    found = F.array_sort(F.collect_list(F.struct("q", "value")))
+    return exact_quantiles(rows, x, qs).agg(F.transform(found, lambda t: t["value"]).alias(name))

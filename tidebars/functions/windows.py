@@ -81,8 +81,13 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def log_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b); NULL where either price is not positive."""
+    return F.ln(F.when((a > 0) & (b > 0), F.try_divide(a, b)))
+
+
 def log_return(k: int = 1) -> Column:
-    return F.ln(F.col("close") / lag(F.col("close"), k))
+    return log_ratio(F.col("close"), lag(F.col("close"), k))
 
 
 def true_range() -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebars.functions.order import edges_of
 from tidebars.functions.windows import corr, safe_div
 
 c = F.col
@@ -81,8 +82,7 @@ def partial_ic(rows: DataFrame, x: str, y: str, z: str, day: str = "trade_date",
 
 def dev_buckets(rows: DataFrame, x: str, n: int = 5) -> DataFrame:
     """bucket: how many distinct interior Development quantiles are at most x; the edges are one row."""
-    qs = F.array(*[F.lit(i / n) for i in range(1, n)])
-    edges = rows.where(c("research_partition") == "Development").agg(F.array_sort(F.array_distinct(F.percentile(x, qs))).alias("edges"))
+    edges = edges_of(rows.where(c("research_partition") == "Development"), x, [i / n for i in range(1, n)]).select(F.array_distinct("edges").alias("edges"))
     return rows.join(F.broadcast(edges)).withColumn("bucket", F.when(c(x).isNotNull(), F.size(F.filter("edges", lambda e: e <= c(x)))))
 
 

@@ -155,11 +155,11 @@ def deadband(x: Column, d: float, fade: bool = False) -> Column:
 
 def signals() -> dict[str, Column]:
     """A rule is a function of feature columns that gives -1, 0 or 1; any mapping of names to such Columns will do."""
-    gate = F.coalesce(c("rng") / c("atr20") > 1.0, F.lit(False))
+    gate = F.coalesce(safe_div(c("rng"), c("atr20")) > 1.0, F.lit(False))
     return {
         "follow_momentum": deadband(c("disp5"), 0.5),
         "fade_momentum": deadband(c("disp5"), 1.0, fade=True),
-        "follow_body": deadband(c("body") / c("atr20"), 0.25),
+        "follow_body": deadband(safe_div(c("body"), c("atr20")), 0.25),
         "gated_follow": F.when(gate, deadband(c("disp5"), 0.25)).otherwise(0),
         "both_sign": F.when((deadband(c("disp5"), 0.0) == deadband(c("disp15"), 0.0)), deadband(c("disp5"), 0.0)).otherwise(0),
         "london_fade": F.when(c("session") == "London", deadband(c("clv"), 0.5, fade=True)).otherwise(0),

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.functions.windows import by_run, complete, frame, lag, let, log_return, rcorr, rmax, rmean, rmin, rslope, rstd, rsum, safe_div, true_range
+from tidebars.functions.windows import by_run, complete, frame, lag, let, log_ratio, log_return, rcorr, rmax, rmean, rmin, rslope, rstd, rsum, safe_div, true_range
 from tidebars.sources.bars import LONDON, NEW_YORK, TICK
 
 KEYS = ("product", "bar_ts", "bar_id", "run_id")
@@ -40,7 +40,7 @@ def prepared(bars: DataFrame) -> DataFrame:
     )
     bars = bars.withColumns({"r2": c("ret") * c("ret"), "adc": F.abs("dc")})
     own = {f"atr{n}": rmean(c("tr"), n) for n in (5, 20, 30, 60)} | {f"rv{n}": 1e4 * F.sqrt(rsum(c("r2"), n)) for n in (5, 15, 30, 60)} | {f"vmean{n}": rmean(c("volume"), n) for n in (5, 20, 60)}
-    own |= {f"bps{h}": 1e4 * F.ln(c("close") / lag(c("close"), h)) for h in (1, 5, 15, 30, 60)}
+    own |= {f"bps{h}": 1e4 * log_ratio(c("close"), lag(c("close"), h)) for h in (1, 5, 15, 30, 60)}
     bars = bars.withColumns(own)
     return bars.withColumns({"relvol20": safe_div(c("volume").cast("double"), c("vmean20")), "relvol60": safe_div(c("volume").cast("double"), c("vmean60"))} | {f"disp{h}": safe_div(c("close") - lag(c("close"), h), c("atr20")) for h in (5, 15, 30, 60)})
 
@@ -275,9 +275,9 @@ def mlat(bars: DataFrame) -> DataFrame:
             "gain": F.when(c("dc").isNotNull(), F.greatest(c("dc"), F.lit(0.0))),
             "loss": F.when(c("dc").isNotNull(), F.greatest(-c("dc"), F.lit(0.0))),
             "mfv": F.when(c("rng") == 0, 0.0).otherwise(c("clv")) * c("volume"),
-            "amihud": F.abs("ret") / (c("close") * c("volume")),
-            "pk": F.pow(ln(c("high") / c("low")), F.lit(2.0)),
-            "rs": ln(c("high") / c("open")) * ln(c("high") / c("close")) + ln(c("low") / c("open")) * ln(c("low") / c("close")),
+            "amihud": safe_div(F.abs("ret"), c("close") * c("volume")),
+            "pk": F.pow(log_ratio(c("high"), c("low")), F.lit(2.0)),
+            "rs": log_ratio(c("high"), c("open")) * log_ratio(c("high"), c("close")) + log_ratio(c("low"), c("open")) * log_ratio(c("low"), c("close")),
             "up": F.when(c("ret").isNotNull(), F.when(c("ret") > 0, c("r2")).otherwise(0.0)),
             "down": F.when(c("ret").isNotNull(), F.when(c("ret") < 0, c("r2")).otherwise(0.0)),
             "bip": F.abs("ret") * F.abs(lag(c("ret"))),

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebars.functions.windows import safe_div
+from tidebars.functions.order import edges_of
+from tidebars.functions.windows import log_ratio, safe_div
 from tidebars.sources.bars import FORCED_EXIT, LONDON, NEW_YORK, TICK
 
 HORIZONS = (4, 8, 20)
@@ -53,7 +54,7 @@ def with_reason(bars: DataFrame, h: int) -> DataFrame:
 
 def labelled(bars: DataFrame, h: int) -> DataFrame:
     """Decision rows with the labels of one horizon; NULL where the path isn't available."""
-    bars = with_reason(decisions(bars), h).withColumn("step2", F.pow(F.ln(c("close") / F.lag("close").over(by_product())), F.lit(2.0)))
+    bars = with_reason(decisions(bars), h).withColumn("step2", F.pow(log_ratio(c("close"), F.lag("close").over(by_product())), F.lit(2.0)))
     path, later = ahead(1, h), ahead(2, h)
     bars = bars.withColumns(
         {
@@ -72,7 +73,7 @@ def labelled(bars: DataFrame, h: int) -> DataFrame:
     out = bars.withColumns(
         {
             "return_ticks": ok(F.rint(move / TICK).cast("int")),
-            "return_bps": ok(1e4 * F.ln(c("exit_close") / c("entry_price"))),
+            "return_bps": ok(1e4 * log_ratio(c("exit_close"), c("entry_price"))),
             "return_atr": ok(safe_div(move, c("atr20"))),
             "mfe_long": ok(c("path_high") - c("entry_price")),
             "mae_long": ok(c("entry_price") - c("path_low")),
@@ -80,7 +81,7 @@ def labelled(bars: DataFrame, h: int) -> DataFrame:
             "mae_short": ok(c("path_high") - c("entry_price")),
             "bars_to_high": ok(c("t_high").cast("int")),
             "bars_to_low": ok(c("t_low").cast("int")),
-            "realized_vol": ok(1e4 * F.sqrt(F.pow(F.ln(c("entry_close") / c("entry_price")), F.lit(2.0)) + c("steps"))),
+            "realized_vol": ok(1e4 * F.sqrt(F.pow(log_ratio(c("entry_close"), c("entry_price")), F.lit(2.0)) + c("steps"))),
             "range_atr": ok(safe_div(c("path_high") - c("path_low"), c("atr20"))),
         }
     )
@@ -89,7 +90,7 @@ def labelled(bars: DataFrame, h: int) -> DataFrame:
 
 def with_expansion(labels: DataFrame, q: float = EXPANSION) -> DataFrame:
     """expansion: whether the path's range reaches the Development quantile, which is one row to broadcast."""
-    edge = labels.where(c("research_partition") == "Development").agg(F.percentile("range_atr", F.lit(q)).alias("edge"))
+    edge = edges_of(labels.where(c("research_partition") == "Development"), "range_atr", [q]).select(F.get("edges", F.lit(0)).alias("edge"))
     return labels.join(F.broadcast(edge)).withColumn("expansion", c("range_atr") >= c("edge"))
 
 
@@ -143,6 +144,6 @@ def continuity_lag_pairs(bars: DataFrame, lag: int) -> DataFrame:
 def forward_vol(bars: DataFrame, h: int) -> DataFrame:
     """Square root of the next h squared returns of the run; NULL where it ends earlier."""
     run = Window.partitionBy("run_id").orderBy("bar_id")
-    bars = bars.withColumn("r2", F.pow(F.ln(c("close") / F.lag("close").over(run)), F.lit(2.0)))
+    bars = bars.withColumn("r2", F.pow(log_ratio(c("close"), F.lag("close").over(run)), F.lit(2.0)))
     w = run.rowsBetween(1, h)
     return bars.withColumn("forward_vol", F.when(F.count("r2").over(w) == h, F.sqrt(F.sum("r2").over(w))))

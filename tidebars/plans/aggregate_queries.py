@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidebars.functions.windows import log_ratio
 from tidebars.operators import aggregates as a
 from tidebars.operators import features, labels
 from tidebars.plans import sql
@@ -74,7 +75,7 @@ def dev_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month, flag, t of the mean daily move, and a p-value by the tail 1 / (1 + t * t)."""
-    days = daily_prices(spark, sf_dir).withColumn("month", F.date_format("trade_date", "yyyy-MM")).withColumn("move", F.ln(c("close") / c("open")))
+    days = daily_prices(spark, sf_dir).withColumn("month", F.date_format("trade_date", "yyyy-MM")).withColumn("move", log_ratio(c("close"), c("open")))
     cells = days.groupBy("l_returnflag", "month").agg(F.count("*").alias("n"), F.avg("move").alias("m"), F.stddev_samp("move").alias("s"))
     t = c("m") / c("s") * F.sqrt("n")
     return cells.where("n >= 5 AND s > 0").withColumn("p", F.round(1 / (1 + t * t), 9))
@@ -190,7 +191,7 @@ def rank(x: str, over: str) -> str:
     return f"rank() OVER (PARTITION BY {over} ORDER BY {x}) + (count(*) OVER (PARTITION BY {over}, {x}) - 1) / 2.0"
 
 
-_MONTHLY = f"""{DAYS}, mv AS (SELECT l_returnflag, strftime(trade_date, '%Y-%m') AS month, ln(close / open) AS move FROM days),
+_MONTHLY = f"""{DAYS}, mv AS (SELECT l_returnflag, strftime(trade_date, '%Y-%m') AS month, {sql.log_ratio('close', 'open')} AS move FROM days),
 cells AS (SELECT l_returnflag, month, count(*) AS n, avg(move) AS m, stddev_samp(move) AS s FROM mv GROUP BY ALL),
 p AS (SELECT *, round(1 / (1 + pow(m / s * sqrt(n), 2)), 9) AS p FROM cells WHERE n >= 5 AND s > 0)"""
 _Q = {f"p{int(q * 100):02d}": f"quantile_cont(return_atr, {q})" for q in a.QUANTILES}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebars.functions.order import edges_of
 from tidebars.operators import aggregates, events, features, joins
 from tidebars.plans import sql
 from tidebars.plans.sql import r, rounded
@@ -272,9 +273,9 @@ def context_same_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
 def volatility_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars by Development quartile class of ATR20: low, normal, high, extreme."""
     bars = features.prepared(event_bars(spark, sf_dir))
-    edges = bars.where("research_partition = 'Development'").agg(F.percentile("atr20", F.array(F.lit(0.25), F.lit(0.75), F.lit(0.9))).alias("e"))
+    edges = edges_of(bars.where("research_partition = 'Development'"), "atr20", [0.25, 0.75, 0.9], "e")
     x = c("atr20")
-    bars = bars.join(F.broadcast(edges)).withColumn("bucket", F.when(x.isNull(), "unknown").when(x <= c("e")[0], "low").when(x <= c("e")[1], "normal").when(x <= c("e")[2], "high").otherwise("extreme"))
+    bars = bars.join(F.broadcast(edges)).withColumn("bucket", F.when(x.isNull(), "unknown").when(x <= F.get("e", F.lit(0)), "low").when(x <= F.get("e", F.lit(1)), "normal").when(x <= F.get("e", F.lit(2)), "high").otherwise("extreme"))
     return bars.groupBy("research_partition", "bucket").agg(F.count("*").alias("bars"))
 
 

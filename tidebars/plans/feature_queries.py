@@ -246,8 +246,8 @@ _EXP = {
     "vwap_elasticity_30_exp": slope("bps", "distance_before", "d30", 30),
 }
 _MLAT_CTE = f"""m AS (SELECT *, CASE WHEN dc IS NOT NULL THEN greatest(dc, 0.0) END AS gain, CASE WHEN dc IS NOT NULL THEN greatest(-dc, 0.0) END AS loss,
-  CASE WHEN rng = 0 THEN 0.0 ELSE clv END * volume AS mfv, abs(ret) / (close * volume) AS amihud, pow(ln(high / low), 2) AS pk,
-  ln(high / open) * ln(high / close) + ln(low / open) * ln(low / close) AS rs, CASE WHEN ret IS NOT NULL THEN CASE WHEN ret > 0 THEN r2 ELSE 0.0 END END AS up,
+  CASE WHEN rng = 0 THEN 0.0 ELSE clv END * volume AS mfv, abs(ret) / nullif(close * volume, 0) AS amihud, pow({sql.log_ratio('high', 'low')}, 2) AS pk,
+  ({sql.log_ratio('high', 'open')}) * ({sql.log_ratio('high', 'close')}) + ({sql.log_ratio('low', 'open')}) * ({sql.log_ratio('low', 'close')}) AS rs, CASE WHEN ret IS NOT NULL THEN CASE WHEN ret > 0 THEN r2 ELSE 0.0 END END AS up,
   CASE WHEN ret IS NOT NULL THEN CASE WHEN ret < 0 THEN r2 ELSE 0.0 END END AS down, abs(ret) * abs(lag(ret) OVER o) AS bip, {roll('sum', 'ret', 5)} AS ret5, 1e4 * sqrt({roll('avg', 'r2', 15)}) AS rvol15,
   CAST(ret < 0 AS DOUBLE) AS neg, CAST(ret = 0 AS DOUBLE) AS zero, CAST(ret > 0 AS DOUBLE) AS pos FROM f {windows(5, 15)})"""
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidebars.functions.windows import log_ratio
 from tidebars.operators import features, labels
 from tidebars.plans import sql
 from tidebars.plans.sql import r, rounded
@@ -61,7 +62,7 @@ def eligible_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def continuity_lag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return labels.continuity_lag_pairs(event_bars(spark, sf_dir), 3).select("product", "bar_ts", rounded(F.ln(F.col("close") / F.col("close_before"))).alias("log_change"))
+    return labels.continuity_lag_pairs(event_bars(spark, sf_dir), 3).select("product", "bar_ts", rounded(log_ratio(F.col("close"), F.col("close_before"))).alias("log_change"))
 
 
 def forward_rv_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +79,7 @@ def _path(h: int, name: str = "l") -> str:
     frame = f"PARTITION BY product ORDER BY bar_id ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING"
     inner = f"PARTITION BY product ORDER BY bar_id ROWS BETWEEN 2 FOLLOWING AND {h} FOLLOWING"
     return f"""
-{name}1 AS (SELECT *, pow(ln(close / lag(close) OVER p), 2) AS step2, lead(open) OVER p AS entry_price, lead(close) OVER p AS entry_close, lead(minute_of_day) OVER p AS entry_minute,
+{name}1 AS (SELECT *, pow({sql.log_ratio('close', 'lag(close) OVER p')}, 2) AS step2, lead(open) OVER p AS entry_price, lead(close) OVER p AS entry_close, lead(minute_of_day) OVER p AS entry_minute,
   lead(trade_date) OVER p AS entry_date, lead(session) OVER p AS entry_session FROM f WINDOW p AS (PARTITION BY product ORDER BY bar_id)),
 {name}2 AS (SELECT *, count(*) OVER a AS n_path, last(close) OVER a AS exit_close, last(minute_of_day) OVER a AS last_minute, last(trade_date) OVER a AS last_date, max(high) OVER a AS path_high, min(low) OVER a AS path_low,
   list_position(list(high) OVER a, max(high) OVER a) AS t_high, list_position(list(low) OVER a, min(low) OVER a) AS t_low, coalesce(sum(step2) OVER i, 0) AS steps,
@@ -86,9 +87,9 @@ def _path(h: int, name: str = "l") -> str:
 {name}3 AS (SELECT *, CASE WHEN n_path < {h} THEN 'insufficient_rows' WHEN gaps = 1 THEN 'time_gap' WHEN segs = 1 THEN 'segment_change' WHEN last_date <> entry_date THEN 'date_change'
   WHEN entry_minute < 930 AND last_minute >= 930 THEN 'forced_exit' ELSE 'available' END AS reason FROM {name}2),
 {name} AS (SELECT *, {h} AS horizon, CASE WHEN reason = 'available' THEN CAST(round_even((exit_close - entry_price) / {TICK}, 0) AS INTEGER) END AS return_ticks,
-  CASE WHEN reason = 'available' THEN 1e4 * ln(exit_close / entry_price) END AS return_bps, CASE WHEN reason = 'available' THEN (exit_close - entry_price) / nullif(atr20, 0) END AS return_atr,
+  CASE WHEN reason = 'available' THEN 1e4 * ({sql.log_ratio('exit_close', 'entry_price')}) END AS return_bps, CASE WHEN reason = 'available' THEN (exit_close - entry_price) / nullif(atr20, 0) END AS return_atr,
   CASE WHEN reason = 'available' THEN path_high - entry_price END AS mfe_long, CASE WHEN reason = 'available' THEN entry_price - path_low END AS mae_long,
-  CASE WHEN reason = 'available' THEN 1e4 * sqrt(pow(ln(entry_close / entry_price), 2) + steps) END AS realized_vol,
+  CASE WHEN reason = 'available' THEN 1e4 * sqrt(pow({sql.log_ratio('entry_close', 'entry_price')}, 2) + steps) END AS realized_vol,
   CASE WHEN reason = 'available' THEN (path_high - path_low) / nullif(atr20, 0) END AS range_atr FROM {name}3)"""
 
 
@@ -117,6 +118,6 @@ ORACLE_SQL: dict[str, str] = {
     "availability_report": f"{_ALL}, c AS (SELECT horizon, entry_session, research_partition, reason, count(*) AS n FROM ({_UNION}) WHERE entry_session IS NOT NULL GROUP BY ALL) SELECT *, {r('n / sum(n) OVER (PARTITION BY horizon, entry_session, research_partition)')} AS share FROM c",
     "eligible_funnel": f"WITH {sql.bars()}, e AS (SELECT {', '.join(f'{x} AS p{i}' for i, x in enumerate(_PASS, 1))} FROM bars WINDOW p AS (PARTITION BY product ORDER BY bar_id)) "
     + " UNION ALL ".join(f"SELECT {i} AS rule_no, '{n}' AS rule, count(*) FILTER ({' AND '.join(f'p{j}' for j in range(1, i + 1))}) AS survivors FROM e" for i, n in enumerate(labels.RULES, 1)),
-    "continuity_lag_pairs": f"WITH {sql.bars()} SELECT x.product, x.bar_ts, {r('ln(x.close / y.close)')} AS log_change FROM bars x JOIN bars y ON x.product = y.product AND y.bar_ts = x.bar_ts - INTERVAL 45 MINUTES AND x.trade_date = y.trade_date AND x.segment = y.segment",
+    "continuity_lag_pairs": f"WITH {sql.bars()} SELECT x.product, x.bar_ts, {r('(' + sql.log_ratio('x.close', 'y.close') + ')')} AS log_change FROM bars x JOIN bars y ON x.product = y.product AND y.bar_ts = x.bar_ts - INTERVAL 45 MINUTES AND x.trade_date = y.trade_date AND x.segment = y.segment",
     "forward_rv_segmented": f"WITH {sql.features()} SELECT {K}, {r('CASE WHEN count(r2) OVER a = 5 THEN sqrt(sum(r2) OVER a) END')} AS forward_vol FROM f WINDOW a AS (PARTITION BY run_id ORDER BY bar_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)",
 }

@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebars.functions.order import exact_quantiles, global_rank
-from tidebars.functions.windows import corr
+from tidebars.functions.order import edges_of, exact_quantiles, global_rank
+from tidebars.functions.windows import corr, log_ratio
 from tidebars.operators import aggregates, events, features, inference, sequential
 from tidebars.plans import sql
 from tidebars.plans.aggregate_queries import SECTION
@@ -38,9 +38,9 @@ def ind_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ind_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SMA, Bollinger bands, simple ATR, volatility of percent returns and on-balance volume, by plain frames."""
-    from tidebars.functions.windows import by_run, lag, rmean, rstd
+    from tidebars.functions.windows import by_run, lag, rmean, rstd, safe_div
 
-    bars = features.prepared(event_bars(spark, sf_dir)).withColumn("pct", 100 * c("dc") / lag(c("close")))
+    bars = features.prepared(event_bars(spark, sf_dir)).withColumn("pct", 100 * safe_div(c("dc"), lag(c("close"))))
     bars = bars.withColumn("flow", F.coalesce(F.signum("dc") * c("volume"), F.lit(0.0)))
     obv = F.sum("flow").over(by_run().rowsBetween(Window.unboundedPreceding, 0))
     mean, sd = rmean(c("close"), 20), rstd(c("close"), 20)
@@ -53,7 +53,7 @@ def vwap_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = features.prepared(event_bars(spark, sf_dir))
     w = Window.partitionBy("product", "segment").orderBy("bar_id").rowsBetween(-19, 0)
     d = Window.partitionBy("product", "trade_date").orderBy("bar_id").rowsBetween(Window.unboundedPreceding, 0)
-    return bars.select(*KEYS, rounded(F.sum("pv").over(w) / F.sum("volume").over(w)).alias("vwap_20"), rounded(F.sum("pv").over(d) / F.sum("volume").over(d)).alias("vwap_date"))
+    return bars.select(*KEYS, rounded(F.try_divide(F.sum("pv").over(w), F.sum("volume").over(w))).alias("vwap_20"), rounded(F.try_divide(F.sum("pv").over(d), F.sum("volume").over(d))).alias("vwap_date"))
 
 
 def garch_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def garch_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GARCH(1,1) of each flag's Development returns: one series to one task."""
     days = daily_prices(spark, sf_dir)
     w = Window.partitionBy("l_returnflag").orderBy("trade_date")
-    rows = days.withColumn("ret", F.ln(c("close") / F.lag("close").over(w))).where("ret IS NOT NULL AND year(trade_date) <= 1999")
+    rows = days.withColumn("ret", log_ratio(c("close"), F.lag("close").over(w))).where("ret IS NOT NULL AND year(trade_date) <= 1999")
     return inference.by_cell(rows, ["l_returnflag"], "ret", "trade_date", {"omega": "double", "alpha": "double", "beta": "double"}, lambda x: sequential.fit_garch(x))
 
 
@@ -186,8 +186,8 @@ def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robust_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Development median and interquartile range, applied everywhere and clipped at ten: means by partition."""
     rows = cross_section(spark, sf_dir)
-    q = rows.where("research_partition = 'Development'").agg(F.percentile("target", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    z = F.greatest(F.lit(-10.0), F.least(F.lit(10.0), (c("target") - c("q")[1]) / (c("q")[2] - c("q")[0])))
+    q = edges_of(rows.where("research_partition = 'Development'"), "target", [0.25, 0.5, 0.75], "q")
+    z = F.greatest(F.lit(-10.0), F.least(F.lit(10.0), F.try_divide(c("target") - F.get("q", F.lit(1)), F.get("q", F.lit(2)) - F.get("q", F.lit(0)))))
     return rows.join(F.broadcast(q)).withColumn("z", z).groupBy("research_partition").agg(rounded(F.avg("z")).alias("mean_z"), rounded(F.max("z")).alias("max_z"), rounded(F.min("z")).alias("min_z"))
 
 

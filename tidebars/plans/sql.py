@@ -35,6 +35,10 @@ bars AS (SELECT *, product || '/' || run_no AS run_id, row_number() OVER (PARTIT
        CASE WHEN trade_date <= DATE '2024-01-18' THEN 'Development' WHEN trade_date <= DATE '2024-01-24' THEN 'Validation' ELSE 'Final' END AS research_partition FROM b4)"""
 
 
+def log_ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {a} > 0 AND {b} > 0 THEN ln(({a}) / ({b})) END"
+
+
 def roll(fn: str, x: str, n: int) -> str:
     return f"CASE WHEN count({x}) OVER w{n} = {n} THEN {fn}({x}) OVER w{n} END"
 
@@ -48,10 +52,10 @@ def features(minutes: int = 15, by_type: bool = False) -> str:
     atr = ", ".join(f"{roll('avg', 'tr', n)} AS atr{n}" for n in (5, 20, 30, 60))
     rv = ", ".join(f"1e4 * sqrt({roll('sum', 'r2', n)}) AS rv{n}" for n in (5, 15, 30, 60))
     vm = ", ".join(f"{roll('avg', 'volume', n)} AS vmean{n}" for n in (5, 20, 60))
-    bps = ", ".join(f"1e4 * ln(close / lag(close, {h}) OVER o) AS bps{h}" for h in (1, 5, 15, 30, 60))
+    bps = ", ".join(f"1e4 * ({log_ratio('close', f'lag(close, {h}) OVER o')}) AS bps{h}" for h in (1, 5, 15, 30, 60))
     disp = ", ".join(f"(close - lag(close, {h}) OVER o) / nullif(atr20, 0) AS disp{h}" for h in (5, 15, 30, 60))
     return f"""{bars(minutes, by_type)},
-f1 AS (SELECT *, close - lag(close) OVER o AS dc, ln(close / lag(close) OVER o) AS ret, high - low AS rng, close - open AS body,
+f1 AS (SELECT *, close - lag(close) OVER o AS dc, {log_ratio('close', 'lag(close) OVER o')} AS ret, high - low AS rng, close - open AS body,
        CASE WHEN lag(close) OVER o IS NULL THEN high - low ELSE greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) END AS tr,
        high - greatest(open, close) AS upper_, least(open, close) - low AS lower_, ln(1 + volume) AS logv, (high + low + close) / 3 * volume AS pv,
        (2 * close - high - low) / nullif(high - low, 0) AS clv FROM bars {windows()}),
