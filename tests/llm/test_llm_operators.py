@@ -363,3 +363,22 @@ def test_neighbours_recall_and_edge_cases(spark):
 @pytest.mark.parametrize("run", [jaccard.join, substring.report, lambda d: packing.pack(d, tokenizer_path(), 2), licences.scan, quality.report, mixing.report], ids=["jaccard", "substring", "packing", "licences", "quality", "mixing"])
 def test_empty_tables(docs, run):
     assert run(docs.limit(0)).count() == 0
+
+
+def test_neighbours_with_an_outlier_and_repeated_ids(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((3000, 24))
+    x[5] *= 1e9
+    ids = [*range(2990), *range(100, 110)]  # ten ids stand on two rows each
+    df = spark.createDataFrame([(i, v, 1, "s") for i, v in zip(ids, x.tolist(), strict=True)], "vec_id long, embedding array<double>, node int, row string")
+    got = neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect()
+    found: dict = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["vec_id"], r["rank"], r["score"]))
+    want: dict = {}
+    for q in [i for i, v in enumerate(ids) if v % 100 == 0]:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        want.setdefault(ids[q], []).extend(ids[j] for j in np.lexsort((ids, d))[:10])
+    hit = sum(len(list((Counter(v for v, _, _ in found[q]) & Counter(w)).elements())) for q, w in want.items())
+    assert set(found) == set(want) and len(found[100]) == 20 and hit >= 0.95 * sum(map(len, want.values()))
