@@ -1,129 +1,157 @@
 """Harmonic packing of documents into sequences of a fixed capacity.
 
-Sizes are the reciprocals of the capacity: floor(capacity / k). A document of more than the capacity fills
-whole sequences; what remains is cut into sizes, largest first (at most a handful, as the rest shrinks
-quadratically). A sequence of class k holds exactly k pieces of one size. Every worker numbers the pieces of
-its own rows class by class; prefix sums of the workers' counts then give each piece its sequence and offset,
-so no piece moves and no worker waits for another. The last, incomplete sequence of each class, a number of
-pieces bounded by the capacity alone, is packed first-fit by falling size.
+Lengths fall into reciprocal-capacity classes: class k has the lengths in (capacity / (k + 1), capacity / k], and a bin of
+class k is closed with its k-th document. Every worker fills the bins of its own rows, in one pass, without waiting for
+another; a sequence never crosses workers, so nothing is shuffled.
+
+What a closed bin leaves free takes documents too. Closed bins with more than a sliver of room wait in a small pool; a
+document that fits into one of them goes whole into the tightest, and only one that fits into none starts or joins a
+bin of its class. When the pool is full, the next document is cut so that its head fills the roomiest bin. A document
+of more than the capacity fills whole sequences first. At the end of the worker's rows what still has room is
+run together and cut every `capacity` ids, so a worker pads one sequence, and slivers.
 
 Defined results: a null or empty text is the end id alone; null and repeated doc_ids are packed row by row; an
-empty table gives an empty result; columns other than doc_id and text are ignored.
+empty table gives an empty result; columns other than doc_id and text are ignored; a text of any length is packed whole.
 """
 
 from __future__ import annotations
 
+import bisect
 import zlib
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.store import materialize, small_batches
+from tidebars.llm.store import small_batches
 from tidebars.llm.tokens import encoded
 
-_PIECE = "part int, size int, rank long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-
-
-def class_sizes(capacity: int) -> list[int]:
-    """All sizes floor(capacity / k), largest first."""
-    return sorted({capacity // k for k in range(1, capacity + 1)}, reverse=True)
-
-
-def cut_lengths(n: int, capacity: int, largest: list[int]) -> list[int]:
-    """n as a sum of class sizes; largest[r]: the largest size of at most r."""
-    out = [capacity] * (n // capacity)
-    rest = n % capacity
-    while rest:
-        out.append(largest[rest])
-        rest -= out[-1]
-    return out
-
-
-def largest_sizes(capacity: int) -> list[int]:
-    table, sizes = [0] * (capacity + 1), class_sizes(capacity)[::-1]
-    at = 0
-    for r in range(1, capacity + 1):
-        while at + 1 < len(sizes) and sizes[at + 1] <= r:
-            at += 1
-        table[r] = sizes[at]
-    return table
-
-
-def first_fit(pieces: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
-    """(piece, length), falling in length, to (piece, bin, offset)."""
-    room: list[int] = []
-    out = []
-    for piece, length in pieces:
-        b = next((i for i, x in enumerate(room) if x >= length), len(room))
-        if b == len(room):
-            room.append(capacity)
-        out.append((piece, b, capacity - room[b]))
-        room[b] -= length
-    return out
+#: Closed bins that wait for documents that fit, and the part of the capacity that isn't worth waiting for.
+POOL, SLIVER = 256, 1 / 512
+
+
+class Piece(NamedTuple):
+    """ids[start : start + len(ids)] of a document of doc_tokens ids."""
+
+    doc_id: int | None
+    start: int
+    ids: np.ndarray
+    doc_tokens: int
+
+
+class Packer:
+    """One worker's bins. add() and finish() give whole sequences: lists of pieces."""
+
+    def __init__(self, capacity: int, pool: int = POOL):
+        self.capacity, self.most = capacity, pool
+        self.sliver = int(capacity * SLIVER)
+        self.open: dict[int, list[Piece]] = {}
+        #: Closed bins by room, with a number that tells bins of the same room apart.
+        self.rooms: list[tuple[int, int]] = []
+        self.waiting: dict[int, list[Piece]] = {}
+        self.number = 0
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[list[Piece]]:
+        n, start = len(ids), 0
+        while n - start >= self.capacity:
+            yield [Piece(doc_id, start, ids[start : start + self.capacity], n)]
+            start += self.capacity
+        while start < n:
+            rest = n - start
+            at = bisect.bisect_left(self.rooms, (rest, -1))
+            if at < len(self.rooms):
+                size = rest
+            elif len(self.rooms) >= self.most:
+                at, size = len(self.rooms) - 1, self.rooms[-1][0]
+            else:
+                k = self.capacity // rest
+                own = self.open.setdefault(k, [])
+                own.append(Piece(doc_id, start, ids[start:].copy() if start else ids, n))
+                if len(own) == k:
+                    yield from self._wait(self.open.pop(k), self.capacity - sum(len(p.ids) for p in own))
+                return
+            room, name = self.rooms.pop(at)
+            held = self.waiting.pop(name)
+            # what waits holds its own ids alone, not those of the document around
+            held.append(Piece(doc_id, start, ids[start : start + size].copy() if size < n else ids, n))
+            start += size
+            yield from self._wait(held, room - size)
+
+    def _wait(self, pieces: list[Piece], room: int) -> Iterator[list[Piece]]:
+        if room <= self.sliver:
+            yield pieces
+            return
+        self.number += 1
+        bisect.insort(self.rooms, (room, self.number))
+        self.waiting[self.number] = pieces
+
+    def finish(self) -> Iterator[list[Piece]]:
+        """What still has room, run together and cut at the capacity."""
+        left = [p for _, name in self.rooms for p in self.waiting[name]] + [p for k in sorted(self.open) for p in self.open[k]]
+        self.open, self.rooms, self.waiting = {}, [], {}
+        own: list[Piece] = []
+        room = self.capacity
+        for p in left:
+            at = 0
+            while at < len(p.ids):
+                take = min(room, len(p.ids) - at)
+                own.append(Piece(p.doc_id, p.start + at, p.ids[at : at + take], p.doc_tokens))
+                at, room = at + take, room - take
+                if not room:
+                    yield own
+                    own, room = [], self.capacity
+        if own:
+            yield own
+
+
+_PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_tokens long"
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens, padded_tokens[, ids].
 
-    padded_tokens: the sequence's length after padding (a power of two stays, else the capacity).
-    ids (with_ids): the piece's ids, little-endian 32-bit.
+    sequence_id: the partition's number times 2**33 and a running number; padded_tokens: the sequence's length after padding
+    (a power of two stays, else the capacity); ids (with_ids): the piece's ids, little-endian 32-bit.
     """
-    largest = largest_sizes(capacity)
-    schema = pa.schema([("part", pa.int32()), ("size", pa.int32()), *((c, pa.int64()) for c in ("rank", "doc_id", "start", "length", "ids_crc32", "doc_tokens")), *([("ids", pa.binary())] if with_ids else [])])
+    schema = pa.schema([*((c.split()[0], pa.int64()) for c in _PIECE.split(", ")), *([("ids", pa.binary())] if with_ids else [])])
 
     def pieces(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        count = dict.fromkeys(class_sizes(capacity), 0)
+        number = TaskContext.get().partitionId() << 33
+        packer = Packer(capacity)
+        rows: list[tuple] = []
+
+        def place(sequence: list[Piece]) -> None:
+            nonlocal number
+            total = sum(len(p.ids) for p in sequence)
+            padded = total if total & (total - 1) == 0 else capacity
+            offset = 0
+            for p in sequence:
+                rows.append((p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids), p.doc_tokens, number, offset, total, padded, *([p.ids.tobytes()] if with_ids else [])))
+                offset += len(p.ids)
+            number += 1
+
+        def batch_of() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            rows.clear()
+            return out
+
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            rows: list[tuple] = []
             for i, ids in encoded(batch.column(1), tokenizer_path, end_id):
-                ids, start = ids.astype("<u4"), 0
-                for size in cut_lengths(len(ids), capacity, largest):
-                    own = ids[start : start + size]
-                    rows.append((part, size, count[size], doc_ids[i], start, size, zlib.crc32(own), len(ids), *([own.tobytes()] if with_ids else [])))
-                    count[size] += 1
-                    start += size
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                for sequence in packer.add(doc_ids[i], ids.astype("<u4")):
+                    place(sequence)
+                if len(rows) >= 10_000:
+                    yield batch_of()
+        for sequence in packer.finish():
+            place(sequence)
+        if rows:
+            yield batch_of()
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cut = materialize(rows.mapInArrow(pieces, _PIECE + (", ids binary" if with_ids else "")), "pieces")
-
-    counts = cut.groupBy("size", "part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    totals = counts.groupBy("size").agg(F.sum("n").alias("total")).withColumn("k", F.lit(capacity) / F.col("size")).withColumn("k", F.floor("k"))
-    totals = totals.withColumn("bins", F.floor(F.col("total") / F.col("k")))
-    # one row per class: as many as the capacity has sizes
-    falling = Window.orderBy(F.desc("size"))
-    totals = totals.withColumn("first_bin", F.sum("bins").over(falling) - F.col("bins")).withColumn("all_bins", F.sum("bins").over(Window.partitionBy(F.lit(0))))
-    places = materialize(counts.join(totals, "size").select("size", "part", "before", "k", "bins", "first_bin", "all_bins"), "places")
-
-    placed = cut.join(places, ["size", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    bin_ = F.floor(F.col("rank") / F.col("k"))
-    keep = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    tail = ["ids"] if with_ids else []
-    full = placed.where(bin_ < F.col("bins")).select(
-        *keep, (F.col("first_bin") + bin_).cast("long").alias("sequence_id"), ((F.col("rank") % F.col("k")) * F.col("size")).cast("long").alias("offset"), (F.col("k") * F.col("size")).cast("long").alias("sequence_tokens"), *tail
-    )
-
-    def fit(rows):
-        rows = rows.sort_values(["size", "rank"], ascending=[False, True]).reset_index(drop=True)
-        got = first_fit(list(enumerate(rows["size"].tolist())), capacity)
-        first = int(rows["all_bins"].iloc[0])
-        rows["sequence_id"] = [first + b for _, b, _ in got]
-        rows["offset"] = [at for _, _, at in got]
-        rows["sequence_tokens"] = rows.groupby("sequence_id")["size"].transform("sum").astype("int64")
-        return rows[["size", "rank", "sequence_id", "offset", "sequence_tokens"]]
-
-    rest = placed.where(bin_ >= F.col("bins"))
-    # fewer than k pieces of each class: the capacity bounds their number, not the corpus
-    fitted = rest.select("size", "rank", "all_bins").groupBy("all_bins").applyInPandas(fit, "size int, rank long, sequence_id long, offset long, sequence_tokens long")
-    rest = rest.join(fitted, ["size", "rank"]).select(*keep, "sequence_id", "offset", "sequence_tokens", *tail)
-    n = F.col("sequence_tokens")
-    return full.unionByName(rest).withColumn("padded_tokens", F.when(n.bitwiseAND(n - 1) == 0, n).otherwise(F.lit(capacity).cast("long")))
+    return rows.mapInArrow(pieces, _PIECE + (", ids binary" if with_ids else ""))
