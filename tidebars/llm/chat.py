@@ -3,7 +3,8 @@
 A turn is <|im_start|>ROLE, a line end, its content, <|im_end|> and a line end. Content parts are visited in
 order: a text part stands escaped, other parts stand as placeholders, one per expanded token, and are recorded
 as attachments. Escaping puts every backslash as \\0, a line end in a role as \\1, and <| as <\\2|, so no text or
-role can hold a control string, and unescaping gives back every text exactly.
+role can hold a control string, and unescaping gives back every text exactly. With the formatted text goes its loss mask, the
+spans of the assistant's contents in bytes of UTF-8, and what is learned from is read through that mask alone.
 
 Defined results: a null text or role is empty; a null part list is no parts; turns are in order of turn (null
 first), ties by role and text; rows that repeat count as turns; conversations are told apart by conv_id, null
@@ -12,10 +13,12 @@ being one of its own; an empty table gives no conversations; other columns are i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
+#: The role whose contents are learned from.
+LEARNED = "assistant"
 #: Fields of a content part.
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 #: Patch side in pixels, audio tokens a second, tokens a document page.
@@ -76,13 +79,31 @@ def text_parts(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """conv_id, formatted, attachments, expanded_tokens from rows of conv_id, turn, role, parts."""
+    """conv_id, formatted, loss_mask, attachments, expanded_tokens from rows of conv_id, turn, role, parts.
+
+    loss_mask: start and length, in bytes, of each assistant turn's content within formatted, in order.
+    """
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), visit(F.col("parts")).alias("content"), attachments(F.col("parts")).alias("files")).alias("t"))
+    content = F.struct(F.col("turn").cast("long").alias("turn"), role.alias("role"), visit(F.col("parts")).alias("content"), attachments(F.col("parts")).alias("files"))
+    own = turns.select(F.col("conv_id").cast("long").alias("conv_id"), content.alias("t"))
+    head = F.concat(F.lit(START), escape(F.col("t.role"), True), F.lit("\n"))
+    own = own.withColumns({"head": F.octet_length(head).cast("long"), "size": F.octet_length("t.content").cast("long")})
+    # running lengths and the list of turns are by conv_id both: one exchange
+    before = Window.partitionBy("conv_id").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("head") + F.col("size") + len(END) + 1).over(before), F.lit(0)) + F.col("head")
+    own = own.select("conv_id", F.struct("t", F.struct(start.alias("start"), F.col("size").alias("length")).alias("span")).alias("t"))
+    # the order of equal turns is that of their starts, so spans rise
     rows = own.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    body = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(START), escape(t["role"], True), F.lit("\n"), t["content"], F.lit(END + "\n"))), "")
-    files = F.flatten(F.transform("turns", lambda t: t["files"]))
-    return rows.select("conv_id", body.alias("formatted"), files.alias("attachments"), F.aggregate(files, F.lit(0).cast("long"), lambda n, f: n + f["tokens"]).alias("expanded_tokens"))
+    body = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(START), escape(t["t"]["role"], True), F.lit("\n"), t["t"]["content"], F.lit(END + "\n"))), "")
+    mask = F.transform(F.filter("turns", lambda t: t["t"]["role"] == LEARNED), lambda t: t["span"])
+    files = F.flatten(F.transform("turns", lambda t: t["t"]["files"]))
+    return rows.select("conv_id", body.alias("formatted"), mask.alias("loss_mask"), files.alias("attachments"), F.aggregate(files, F.lit(0).cast("long"), lambda n, f: n + f["tokens"]).alias("expanded_tokens"))
+
+
+def masked(formatted: Column, mask: Column) -> Column:
+    """The texts under the mask, unescaped, one a span; bytes are cut, so a span costs its own length."""
+    cut = lambda data: F.transform(mask, lambda s: unescape(F.decode(F.substring(data, (s["start"] + 1).cast("int"), s["length"].cast("int")), "utf-8")))
+    return F.get(F.transform(F.array(F.encode(formatted, "utf-8")), cut), F.lit(0))
 
 
 def parse(formatted: Column) -> Column:
@@ -99,9 +120,8 @@ def parse(formatted: Column) -> Column:
 
 def digests(formatted: DataFrame) -> DataFrame:
     """What can be read back from formatted conversations: turns and the text under the loss mask."""
-    read = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
+    read = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"), F.array_join(masked(F.col("formatted"), F.col("loss_mask")), "").alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     return read.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars")
     )
