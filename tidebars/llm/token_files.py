@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebars.llm.store import materialize, small_batches
-from tidebars.llm.tokens import encoded
+from tidebars.llm.tokens import encoded, vocabulary_size
 
 MAGIC = b"TBEF0001"
 HEAD = struct.Struct("<8sQQqQQQQ")
@@ -98,6 +98,8 @@ def pack_shard(doc_ids: list[int | None], ids: list[np.ndarray], id_width: int)
     bounds = EliasFano.encode(ends, n_ids)
     names = EliasFano.encode(known.astype(np.uint64) - np.uint64(first % (1 << 64)), span)
     kind = {2: np.uint16, 4: np.uint32}[id_width]
+    if any(len(x) and int(x.max()) > np.iinfo(kind).max for x in ids):
+        raise ValueError(f"an id does not fit in {id_width} bytes")
     body = np.concatenate(ids).astype(kind).tobytes() if ids else b""
     return HEAD.pack(MAGIC, len(doc_ids), n_ids, first, len(doc_ids) - len(known), id_width, len(bounds), len(names)) + bounds + names + body
 
@@ -121,11 +123,16 @@ class Shard:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)].astype(np.uint32)
 
 
-_SHARD = "part int, seq int, n_docs long, n_ids long, data binary"
+_SHARD = "part int, seq int, n_docs long, n_ids long, before long, data binary"
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None, path: str, id_width: int = 2, shard_ids: int = SHARD_IDS) -> None:
-    """Texts encoded and written to path, in ascending doc_id over all shards (by part, seq)."""
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None, path: str, id_width: int | None = None, shard_ids: int = SHARD_IDS) -> None:
+    """Texts encoded and written to path, in ascending doc_id over all shards (by part, seq).
+
+    id_width: bytes an id; as many as the vocabulary and end_id need unless given. An id that doesn't fit is an error.
+    """
+    if id_width is None:
+        id_width = 2 if max(vocabulary_size(tokenizer_path), (end_id or 0) + 1) <= 1 << 16 else 4
 
     def shards(batches):
         from pyspark import TaskContext
@@ -133,12 +140,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None,
         part, seq = TaskContext.get().partitionId(), 0
         names: list = []
         ids: list = []
-        held = 0
+        held = earlier = 0
 
         def flush():
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_docs": len(names), "n_ids": held, "data": pack_shard(names, ids, id_width)}], schema=schema)
+            row = {"part": part, "seq": seq, "n_docs": len(names), "n_ids": held, "before": earlier, "data": pack_shard(names, ids, id_width)}
+            return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("data", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("before", pa.int64()), ("data", pa.binary())])
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
             for i, own in encoded(batch.column(1), tokenizer_path, end_id):
@@ -147,7 +155,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None,
                 held += len(own)
                 if held >= shard_ids:
                     yield flush()
-                    names, ids, held, seq = [], [], 0, seq + 1
+                    names, ids, held, seq, earlier = [], [], 0, seq + 1, earlier + held
         if names:
             yield flush()
 
@@ -162,12 +170,13 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None,
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start (ids before it in all shards), n_tokens, ids_crc32.
 
-    Starts of shards are running sums over the shards' counts, a table of one short row per shard.
+    A shard knows the ids before it in its part; those of the parts before are running sums over one short row a part, of
+    which there are no more than the writer had partitions, so they are broadcast and no shard's bytes are moved.
     """
     files = spark.read.parquet(path)
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("part", "seq", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
-    bases = materialize(bases, "token-file-bases")
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    bases = materialize(parts.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base")), "token-file-bases")
 
     def documents(batches):
         for batch in batches:
@@ -178,4 +187,4 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(), pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.join(bases, ["part", "seq"]).select("base", "data").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(F.broadcast(bases), "part").select((F.col("base") + F.col("before")).alias("base"), "data").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -161,6 +161,12 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+
+
 def encoded(column: pa.Array, path: str, end_id: int | None) -> Iterator[tuple[int, np.ndarray]]:
     """Row number and ids of each text, with end_id last."""
     t = tokenizer(path)
