@@ -175,11 +175,38 @@ def test_packing_holds_every_id_once(docs, rows):
     assert pad <= 0.02 * sum(map(len, ids)) + 512
 
 
-def test_cut_lengths():
-    largest = packing.largest_sizes(4096)
-    for n in (1, 2, 63, 64, 65, 100, 2047, 2048, 4095, 4096, 4097, 12345):
-        cut = packing.cut_lengths(n, 4096, largest)
-        assert sum(cut) == n and all(x in packing.class_sizes(4096) for x in cut) and len(cut) <= n // 4096 + 6
+@pytest.mark.parametrize("lengths", [[3000] * 400, [3] * 4000, [2047] * 700, [4096, 8192, 1, 4097], list(range(1, 700)), [100_000, 5]], ids=["3000", "3", "2047", "whole", "rising", "long"])
+def test_packer(lengths):
+    packer = packing.Packer(4096, 32)
+    sequences: list = []
+    for i, n in enumerate(lengths):
+        sequences += list(packer.add(i, np.arange(n, dtype="<u4")))
+        assert len(packer.waiting) <= 32 and all(sum(len(p.ids) for p in own) <= 4096 for own in packer.open.values())
+    sequences += list(packer.finish())
+    seen: dict = {}
+    for s in sequences:
+        assert 0 < sum(len(p.ids) for p in s) <= 4096
+        for p in s:
+            assert p.ids[0] == p.start and p.doc_tokens == lengths[p.doc_id]
+            seen.setdefault(p.doc_id, []).append((p.start, len(p.ids)))
+    for i, n in enumerate(lengths):
+        at = 0
+        for start, size in sorted(seen[i]):
+            assert start == at
+            at += size
+        assert at == n
+    padding = 4096 * len(sequences) - sum(lengths)
+    assert padding <= 4096 + len(sequences) * packer.sliver and sum(map(len, seen.values())) <= 1.8 * sum(-(-n // 4096) for n in lengths)
+
+
+def test_packing_closes_bins_of_a_class():
+    """Documents of one class stand together, as many as the class has, and none is cut."""
+    packer = packing.Packer(4096)
+    out = [s for i in range(12) for s in packer.add(i, np.zeros(1021, "<u4"))]
+    assert out == [] and [[p.doc_id for p in s] for s in packer.waiting.values()] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11]]
+    packer = packing.Packer(4096)
+    out = [s for i in range(12) for s in packer.add(i, np.zeros(1024, "<u4"))]
+    assert [[p.doc_id for p in s] for s in out] == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9, 10, 11]]
 
 
 def test_token_files_round_trip(spark, docs, rows):
@@ -264,6 +291,10 @@ def test_chat_round_trip(spark):
     got = {r["conv_id"]: [(t["role"], t["text"]) for t in r["turns"]] for r in formatted.select("conv_id", chat.parse(F.col("formatted")).alias("turns")).collect()}
     assert got[7] == [(role or "", t) for _, _, role, t in turns[: 4 * len(hard)]]
     assert got[8] == [("assistant", "x")] * 2 and got[None] == [("user", "")]
+    for r in formatted.collect():
+        raw = r["formatted"].encode()
+        own = [t for c, _, role, t in turns if c == r["conv_id"] and role == "assistant"]
+        assert [raw[m["start"] : m["start"] + m["length"]].decode() for m in r["loss_mask"]] == [(t or "").replace("\\", "\\0").replace("<|", "<\\2|") for t in own]
     d = {r["conv_id"]: r for r in chat.digests(formatted).collect()}
     loss = "".join(t for _, _, role, t in turns[: 4 * len(hard)] if role == "assistant")
     assert d[7]["loss_chars"] == len(loss) and d[7]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
@@ -281,7 +312,7 @@ def test_mixing_reaches_targets(spark):
     rng = np.random.default_rng(3)
     data = [(i, " ".join(["w"] * int(rng.integers(1, 60))), str(rng.choice(["en", "fr"], p=[0.8, 0.2])), str(rng.choice(["a", "b", "c"], p=[0.6, 0.3, 0.1])), 1) for i in range(2000)] + [(None, None, None, None, None)] * 2
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
-    out = mixing.mix(df, targets={"source": {"a": 1.0, "b": 1.0, "c": 1.0}}, min_share=0.01)
+    out = mixing.mix(df, targets={"source": {"a": 1.0, "b": 1.0, "c": 1.0}}, rounds=30, clip=0.01)
     share = {r["source"]: r["w"] for r in out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("probability")).alias("w")).collect() if r["source"]}
     total = sum(share.values())
     assert all(abs(share[s] / total - 1 / 3) < 0.02 for s in "abc") and out.count() == 2002
@@ -294,13 +325,39 @@ def test_mixing_keeps_rare_categories(spark):
     rows = [(i, "x " * 200, "en", "big") for i in range(300)] + [(1000 + i, "x " * 200, "en", f"s{i // 2}") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     own = {r["source"]: r["p"] for r in mixing.mix(df).groupBy("source").agg(F.sum("probability").alias("p")).collect()}
-    # 300 sources of 2 documents and one of 300, to the power of 0.9
+    # 300 sources of 2 documents and one of 300, to the power of ALPHA
     assert np.isclose(own["big"] / own["s7"], 150**mixing.ALPHA, rtol=1e-3)
-    out = mixing.mix(df, targets={"source": {"big": 1.0, "s7": 1.0}})
+    out = mixing.mix(df, targets={"source": {"big": 1.0, "s7": 1.0, "*": 0.0}})
     got = {r["source"]: r["p"] for r in out.groupBy("source").agg(F.sum("probability").alias("p")).collect()}
     assert np.isclose(got["big"], got["s7"], rtol=1e-3) and got["s7"] > 0 and got["s8"] == 0
 
 
+def test_mixing_targets_of_rare_absent_and_unnamed_categories(spark):
+    rows = [(i, "x " * 20, "en", "big") for i in range(400)] + [(1000, "x " * 20, "en", "tail"), (1001, "x " * 20, "en", "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    p = lambda **o: {r["source"]: (r["probability"], r["marginal_error"]) for r in mixing.mix(df, **o).select("source", "probability", "marginal_error").distinct().collect()}
+    got = p(targets={"source": {"big": 0.5, "tail": 0.5}})
+    assert got["tail"][0] == 1.0 and np.isclose(got["big"][0], 1 / 400, rtol=1e-3) and got["other"][0] > 0 and got["big"][1] < 1e-9
+    got = p(targets={"source": {"big": 0.5, "tail": 0.5}}, clip=0.01)
+    assert got["tail"][0] == 1.0 and got["big"][0] == 1.0
+    got = p(targets={"source": {"big": 0.5, "*": 0.5}})
+    assert np.isclose(got["tail"][0] + got["other"][0], 2 * 1.0) and np.isclose(got["big"][0], 2 / 400, rtol=1e-3)
+    with pytest.raises(ValueError, match="none, nowhere"):
+        p(targets={"source": {"big": 0.5, "none": 0.2, "nowhere": 0.3}})
+    got = p(targets={"source": {"big": 0.5, "tail": 0.4, "none": 0.1}}, strict=False)
+    assert got["tail"][0] == 1.0
+
+
+def test_mixing_uses_a_topic_column(spark):
+    rows = [(i, "x " * 20, "en", "s", "a" if i % 4 else "b", 1.5, 7) for i in range(200)] + [(900, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string, probability double, tokens int")
+    out = mixing.mix(df, targets={"topic": {"a": 1.0, "b": 1.0}})
+    got = {r["topic"]: r["p"] for r in out.groupBy("topic").agg(F.sum("probability").alias("p")).collect()}
+    assert np.isclose(got["a"], got["b"], rtol=1e-6) and out.columns == ["doc_id", "text", "lang", "source", "tokens", "topic", "probability", "marginal_error", "sampled"]
+    taken = mixing.sampled(df, targets={"topic": {"a": 1.0, "b": 1.0}})
+    assert taken.schema == df.schema and {(r["tokens"], r["probability"]) for r in taken.where("doc_id < 900").collect()} == {(7, 1.5)}
+
+
 def test_licences_match_brute_force(spark):
     texts = [None, "", "x the MIT License, and GNU general public license; Apache-license CC BY-NC 4.0", "mit mit license mit license", "gnu general public", "All rights reserved", licences.TEMPLATES[0][1].upper().replace(" COPY ", " fair copy "), "ümit license mit licenseé"]
     got = licences.scan(spark.createDataFrame([(i % 3, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, row long")).collect()
@@ -316,6 +373,52 @@ def test_licences_match_brute_force(spark):
         assert 0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(",")))
 
 
+def diagonal_votes(w: list[str]) -> tuple[set, float]:
+    """Labels and best score of a text's words, by counting matches on every diagonal of every template."""
+    labels, best = set(), 0.0
+    tables = [(True, licences.PHRASE_K, label, words) for words, label in licences.PHRASES] + [(False, licences.TEMPLATE_K, label, words) for label, words in licences.TEMPLATES]
+    for base, k, label, phrase in tables:
+        template = phrase.split()
+        lines: dict = {}
+        for p in range(len(w) - k + 1):
+            for q in range(len(template) - k + 1):
+                if w[p : p + k] == template[q : q + k]:
+                    lines.setdefault(p - q, set()).add(q)
+        groups: list = []
+        for d in sorted(lines):
+            if groups and not base and d - groups[-1][0] <= licences.SLACK:
+                groups[-1] = (d, groups[-1][1] | lines[d])
+            else:
+                groups.append((d, lines[d]))
+        for _, starts in groups:
+            score = len({q + j for q in starts for j in range(k)}) / len(template)
+            if score >= (1.0 if base or len(template) < licences.LONG_TEMPLATE else licences.COVERAGE):
+                labels.add(label)
+                best = max(best, score)
+    return labels, best
+
+
+def test_licence_votes_match_brute_force(spark):
+    rng = np.random.default_rng(21)
+    texts: list = [None, ""]
+    for label, passage in licences.TEMPLATES:
+        for _ in range(4):
+            w = passage.split()
+            for _ in range(int(rng.integers(0, 1 + len(w) // 5))):
+                at, what = int(rng.integers(0, len(w))), rng.integers(0, 3)
+                w[at : at + (what != 1)] = [] if what == 0 else ["word"]
+                w = w or ["x"]
+            texts.append(" ".join([*words(int(rng.integers(0, 99)), 3), *w, "and so on"]))
+    texts.append(" ".join(p for _, p in licences.TEMPLATES[:6]))
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hits = 0
+    for i, t in enumerate(texts):
+        labels, best = diagonal_votes(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()))
+        hits += bool(labels)
+        assert got[i]["labels"] == ",".join(sorted(labels)) and np.isclose(got[i]["score"], best), t
+    assert len(texts) // 3 < hits < len(texts) - 10
+
+
 def test_quality_measures(spark):
     text = "one two three four one two three\n\n one two three four one two three\nx#y $|\none two three four one two three"
     got = quality.report(spark.createDataFrame([(1, text, "h"), (1, text, "h"), (2, None, None), (None, " ".join(words(4, 80)), "h")], "doc_id long, text string, source string")).collect()
@@ -336,6 +439,33 @@ def test_quality_rejects_depleted(spark):
     assert kept == {100 + i for i in range(30)}
 
 
+#: Names that operators use inside, or add.
+BUSY = ("removed", "probability", "tokens", "topic_", "_tokens", "_source", "n_words", "kept_sha256", "spans", "_doc", "_h", "_spans", "h", "owner", "gone", "id", "row", "salt", "kept", "sampled", "w", "g_source", "a.b", "columns that ride along ")
+
+
+@pytest.mark.parametrize("run", [quality.judge, quality.clean, substring.clean, substring.deduplicated, mixing.mix, mixing.sampled], ids=["judge", "quality", "measured", "substring", "mix", "sampled"])
+def test_clashing_columns_ride_along(spark, rows, run):
+    data = [(d, t, "en", "h", *[f"{i}/{n}" for n in BUSY]) for i, (d, t) in enumerate(rows)]
+    df = spark.createDataFrame(data, f"doc_id long, text string, lang string, source string, {', '.join(f'`{n}` string' for n in BUSY)}")
+    out = run(df)
+    added = [c for c in out.columns if c not in df.columns]
+    got = out.collect()
+    own = [c for c in df.columns if out.schema[c].dataType == df.schema[c].dataType and (added or len(out.columns) == len(df.columns))]
+    plain = run(df.select("doc_id", "text", "lang", "source"))
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in plain.collect())
+    measures = set(plain.columns)
+    for r in got:
+        values = {r[c].split("/")[0] for c in own if c in BUSY and c not in measures}
+        assert len(values) == 1 and all(r[c].split("/")[1] == c for c in own if c in BUSY and c not in measures)
+
+
+def test_quality_takes_lines_out(spark):
+    rows = [(i, f"{' '.join(words(i, 60))}\nAll Rights  reserved here\n{' '.join(words(900 + i, 5))}", "h") for i in range(25)] + [(50, f"All rights reserved here\n{' '.join(words(50, 60))}", "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(df).collect()}
+    assert all(got[d]["text"] == t.replace("All Rights  reserved here\n", "") for d, t, _ in rows) and got[3]["removed"] == 4 and got[3]["clean_words"] == got[3]["n_words"] - 4 and got[50]["removed"] == 0
+
+
 def test_neighbours_recall_and_edge_cases(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((1500, 16)).astype(np.float32)
@@ -360,6 +490,22 @@ def test_neighbours_recall_and_edge_cases(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_empty_pages_and_conversations(spark, docs):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    turns = spark.createDataFrame([], f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    assert chat.digests(chat.format_conversations(turns)).count() == 0
+    path = new_path(spark, "empty-files")
+    token_files.write_token_files(docs.limit(0), tokenizer_path(), 1, path)
+    assert token_files.read_token_files(spark, path).count() == 0
+
+
+def test_token_files_refuse_ids_that_do_not_fit():
+    with pytest.raises(ValueError, match="2 bytes"):
+        token_files.pack_shard([1], [np.array([70_000], np.uint32)], 2)
+    shard = token_files.Shard(token_files.pack_shard([1], [np.array([70_000], np.uint32)], 4))
+    assert shard.document(0).tolist() == [70_000]
+
+
 @pytest.mark.parametrize("run", [jaccard.join, substring.report, lambda d: packing.pack(d, tokenizer_path(), 2), licences.scan, quality.report, mixing.report], ids=["jaccard", "substring", "packing", "licences", "quality", "mixing"])
 def test_empty_tables(docs, run):
     assert run(docs.limit(0)).count() == 0

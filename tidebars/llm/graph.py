@@ -55,5 +55,5 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.union(lower.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small, "edges")
+        e = materialize(small, "edges", instead_of=e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -170,7 +170,7 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE, settled: float = SETTLED
         around = edges.select(F.col("node").alias("g"), F.col("other").alias("node")).union(back)
         known = vectors.join(graph.select("node", "worst"), "node", "left").withColumn("worst", F.coalesce("worst", any_distance))
         offers = _local_join(around, known, n, OFFERS).withColumn("new", F.lit(1))
-        graph = materialize(_keep_nearest(graph.select("node", "others", "ds", F.lit(0).alias("new")).union(offers), n, degree), "graph")
+        graph = materialize(_keep_nearest(graph.select("node", "others", "ds", F.lit(0).alias("new")).union(offers), n, degree), "graph", instead_of=graph)
         # distances only fall, so this ends
         changed, held = graph.agg(F.sum("changed"), F.sum(F.size("others"))).first()
         if (changed or 0) <= settled * (held or 0):
@@ -198,7 +198,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = B
         found = ahead.join(edges, "node").select("query", F.explode("others").alias("node")).distinct()
         found = found.join(seen.select("query", "node"), ["query", "node"], "left_anti")
         both = seen.withColumn("expanded", F.lit(True)).union(reach(found).withColumn("expanded", F.lit(False)))
-        seen = materialize(both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= beam).drop("r"), "seen")
+        seen = materialize(both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= beam).drop("r"), "seen", instead_of=seen)
     return seen.select("query", "node", "d")
 
 

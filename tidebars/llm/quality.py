@@ -1,12 +1,14 @@
 """Quality rules: per-document measures, and lines that many documents of one host share.
 
 Normalised lines (ASCII lower case, white space as one space, trimmed) are hashed, and the distinct documents of
-each host that hold a line are counted; documents of the same text count once, so exact copies make no line
-frequent. A line above the host's limit is removed: judge() counts its words, clean() gives the text without it.
-A document that loses more than a set share of its words is depleted and rejected.
-
-Defined results: a null text has no words and fails; a null host is a host of its own; null and repeated
-doc_ids are judged row by row; an empty table gives no rows; other columns stay out of the way.
+each host (the column source) that hold a line are counted; documents of the same text count once, so exact copies make
+no line frequent. The limit is a count, whatever the size of the host, so a line of a small share of a large host is
+caught too. A line above the limit is removed from every text of the host; a document that loses more than a set
+share of its words is depleted and rejected.
+
+Defined results: a null text has no words and fails; a null host is the host ""; null and repeated doc_ids are judged
+row by row; an empty table gives no rows; other columns are kept, whatever their names, but for those that have the
+name of a measure of judge(), which it replaces.
 """
 
 from __future__ import annotations
@@ -14,12 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.llm.store import aside, restored
+
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_WORDS, REPEAT_SHARE = 50, 0.5
-#: A line is removed beyond so many documents of its host, and beyond this share of them.
-LINE_DOCS, LINE_SHARE = 20, 0.1
+#: A line is removed beyond so many documents of its host.
+LINE_DOCS = 20
+#: Keys over which the rows of one frequent line are dealt.
+SALTS = 16
 #: A document is depleted when it loses more than this share of its words.
 DEPLETED = 0.5
 
@@ -60,66 +66,78 @@ def repeated_words(word_list: Column) -> Column:
     return _let(word_list, over)
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
+def measures(rows: DataFrame) -> DataFrame:
+    """rows (text) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    t = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.regexp_replace(x, SPACE, "") != "")
     both = _let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).cast("long").alias("r")))
     dup = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    out = docs.withColumns(
+    out = rows.withColumns(
         {
-            "_words": both,
+            "both": both,
             "word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
             "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
             "n_dup_lines": dup.cast("long"),
         }
     )
-    out = out.withColumns({"n_words": F.col("_words.n"), "n_repeat_words": F.col("_words.r")}).drop("_words")
+    out = out.withColumns({"n_words": F.col("both.n"), "n_repeat_words": F.col("both.r")}).drop("both")
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") > REPEAT_SHARE * F.col("n_words")))
 
 
-def _key() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), F.xxhash64("doc_id", "source", "text").alias("_row")]
+OWN = ("doc_id", "source", "text")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed", "clean_words")
+
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text and REST of docs, with id and row, a key that rows of one doc_id, source and text share."""
+    rows = aside(docs, OWN).withColumns({"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "text": F.col("text").cast("string")})
+    return rows.withColumns({"id": F.coalesce("doc_id", F.lit(-1).cast("long")), "row": F.xxhash64("doc_id", "source", "text")})
 
-def removed_words(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """_id, _row, removed, gone: words and hashes of each row's lines above the limits; only rows that have any."""
-    text, host = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
+
+def removed_words(rows: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+    """id, row, removed, gone: words and hashes of each row's lines above the limit; only rows that have any."""
+    text, host = F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))
     line = lambda x: _let(normalised(x), lambda y: F.struct(F.xxhash64(y).alias("line"), F.when(y == "", 0).otherwise(F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n")))
-    lines = docs.select(*_key(), host.alias("host"), F.xxhash64(text).alias("doc"), F.posexplode(F.transform(F.split(text, "\n", -1), line)).alias("pos", "l"))
-    lines = lines.select("_id", "_row", "host", "doc", "pos", "l.line", "l.n")
-    real = lines.where("n > 0")
-    found = real.groupBy("host", "line").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") > line_docs)
-    if line_share:
-        hosts = docs.select(host.alias("host"), F.xxhash64(text).alias("doc")).groupBy("host").agg(F.count_distinct("doc").alias("all_docs"))
-        found = found.join(hosts, "host").where(F.col("docs") > line_share * F.col("all_docs"))
-    frequent = found.select("host", "line")
-    hit = real.join(frequent, ["host", "line"]).groupBy("_id", "_row").agg(F.sum("n").alias("removed"), F.collect_set("line").alias("gone"))
+    lines = rows.select("id", "row", host.alias("host"), F.xxhash64(text).alias("doc"), F.explode(F.transform(F.split(text, "\n", -1), line)).alias("l"))
+    real = lines.select("id", "row", "host", "doc", "l.line", "l.n").where("n > 0")
+    frequent = real.groupBy("host", "line").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") > line_docs).select("host", "line")
+    # a frequent line is the hottest key there is: its rows are dealt to SALTS keys, to each of which it is sent
+    real = real.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
+    frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hit = real.join(frequent, ["host", "line", "salt"]).groupBy("id", "row").agg(F.sum("n").alias("removed"), F.collect_set("line").alias("gone"))
     # rows that repeat share a key: what their lines add up to is shared out among them
-    rows = docs.select(*_key()).groupBy("_id", "_row").agg(F.count("*").alias("rows"))
-    return hit.join(rows, ["_id", "_row"]).select("_id", "_row", (F.col("removed") / F.col("rows")).cast("long").alias("removed"), "gone")
+    count = rows.groupBy("id", "row").agg(F.count("*").alias("rows"))
+    return hit.join(count, ["id", "row"]).select("id", "row", (F.col("removed") / F.col("rows")).cast("long").alias("removed"), "gone")
 
 
-def _judged(docs: DataFrame, depleted: float, **limits) -> DataFrame:
-    """judge() with _gone, the hashes of the row's frequent lines (null if it has none)."""
-    rows = measures(docs.withColumns({"_id": _key()[0], "_row": _key()[1]}))
-    rows = rows.join(removed_words(docs, **limits).withColumnRenamed("gone", "_gone"), ["_id", "_row"], "left").drop("_id", "_row")
+def _judged(docs: DataFrame, depleted: float, line_docs: int) -> DataFrame:
+    """_keyed(docs) with the measures and gone, the hashes of the row's frequent lines (null if it has none)."""
+    rows = _keyed(docs)
+    rows = measures(rows).join(removed_words(rows, line_docs), ["id", "row"], "left")
     rows = rows.withColumn("removed", F.coalesce("removed", F.lit(0).cast("long")))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("removed") <= depleted * F.col("n_words")))
+    left = F.col("n_words") - F.col("removed")
+    kept = ~F.col("base_failed") & (F.col("removed") <= depleted * F.col("n_words"))
+    return rows.withColumns({"clean_words": left, "kept": kept})
+
+
+def _without_lines() -> Column:
+    left = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(normalised(x))))
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
 
 
-def judge(docs: DataFrame, depleted: float = DEPLETED) -> DataFrame:
-    """docs with their measures, removed (words of frequent lines) and kept."""
-    return _judged(docs, depleted).drop("_gone")
+def judge(docs: DataFrame, depleted: float = DEPLETED, line_docs: int = LINE_DOCS) -> DataFrame:
+    """Every row of docs, its text without lines above the limit, and MEASURES: of the text as it was, but for removed
+    (words of the lines taken out) and clean_words (words left)."""
+    rows = _judged(docs, depleted, line_docs).withColumn("text", _without_lines())
+    return restored(rows, docs, OWN, MEASURES)
 
 
-def clean(docs: DataFrame, depleted: float = DEPLETED, **limits) -> DataFrame:
-    """The kept rows of docs, their text without lines above the limits; other texts stay as they are."""
-    rows = _judged(docs, depleted, **limits).where("kept")
-    left = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(F.col("_gone"), F.xxhash64(normalised(x))))
-    return rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))).select(*docs.columns)
+def clean(docs: DataFrame, depleted: float = DEPLETED, line_docs: int = LINE_DOCS) -> DataFrame:
+    """The kept rows of docs, their text without lines above the limit; other texts stay as they are."""
+    rows = _judged(docs, depleted, line_docs).where("kept").withColumn("text", _without_lines())
+    return restored(rows, docs, OWN)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
-    return judge(narrow).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed")
+    out = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"))
+    return out.select("doc_id", *MEASURES, F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))

@@ -11,6 +11,10 @@ from tidebars.llm import chat, html_text, jaccard, licences, mixing, neighbours,
 from tidebars.llm.store import new_path
 
 PACK_END, FILE_END = 2, 1
+#: Target weights of the mixture; sources have their shares to the power mixing.ALPHA.
+MIX_TARGETS = {"lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}, "topic": {"article": 0.66, "book": 0.28, "licence": 0.03, "note": 0.03}}
+#: Cells of the highest ratios, up to this share of the tokens, are kept whole.
+MIX_CLIP = 0.01
 
 
 def tokenizer_path() -> str:
@@ -40,7 +44,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.report(table(spark, sf_dir, "documents"))
+    return mixing.report(table(spark, sf_dir, "documents"), targets=MIX_TARGETS, strict=False, clip=MIX_CLIP)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,24 +108,23 @@ WITH d AS (
 grams AS (SELECT rid, unnest(list_transform(range(1, len(w) - 1), lambda i: struct_pack(i := i, g := w[i:i + 2]))) AS x FROM d WHERE len(w) >= 3),
 twice AS (SELECT rid, x.i AS i, count(*) OVER (PARTITION BY rid, x.g) AS n FROM grams),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE n > 1) GROUP BY rid),
-raw AS (SELECT rid, unnest(string_split(text, chr(10))) AS l FROM d),
+raw AS (SELECT rid, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS p FROM d),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_replace(l, '[\\x20\\x09-\\x0D]+', '', 'g') <> '' GROUP BY rid),
-norm AS (SELECT r.rid, d.host, d.text, trim(regexp_replace(translate(l, '{quality.UPPER}', '{quality.LOWER}'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS l FROM raw r JOIN d USING (rid)),
+norm AS (SELECT r.rid, r.p, r.l AS line, d.host, d.text, trim(regexp_replace(translate(l, '{quality.UPPER}', '{quality.LOWER}'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS l FROM raw r JOIN d USING (rid)),
 lines AS (SELECT rid, host, text, l, len(string_split(l, ' ')) AS n FROM norm WHERE l <> ''),
-hosts AS (SELECT host, count(DISTINCT text) AS n FROM d GROUP BY host),
-frequent AS (SELECT host, l FROM (SELECT host, l, count(DISTINCT text) AS docs FROM lines GROUP BY host, l) JOIN hosts USING (host)
-             WHERE docs > {quality.LINE_DOCS} AND docs > {quality.LINE_SHARE} * n),
+frequent AS (SELECT host, l FROM (SELECT host, l, count(DISTINCT text) AS docs FROM lines GROUP BY host, l) WHERE docs > {quality.LINE_DOCS}),
 gone AS (SELECT rid, sum(n) AS n FROM lines JOIN frequent USING (host, l) GROUP BY rid),
+left_ AS (SELECT rid, string_agg(line, chr(10) ORDER BY p) AS t FROM norm ANTI JOIN frequent USING (host, l) GROUP BY rid),
 m AS (
-  SELECT doc_id, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+  SELECT doc_id, sha256(coalesce(left_.t, '')) AS clean_sha256, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
          length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS n_symbols,
          coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed
-  FROM d LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid))
+  FROM d LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid) LEFT JOIN left_ USING (rid))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        n_words < {quality.MIN_WORDS} OR n_repeat_words > {quality.REPEAT_SHARE} * n_words AS base_failed,
        NOT (n_words < {quality.MIN_WORDS} OR n_repeat_words > {quality.REPEAT_SHARE} * n_words) AND removed <= {quality.DEPLETED} * n_words AS kept,
-       CAST(removed AS BIGINT) AS removed
+       CAST(removed AS BIGINT) AS removed, CAST(n_words - removed AS BIGINT) AS clean_words, clean_sha256
 FROM m
 """
 
@@ -133,26 +136,32 @@ def mixing_sql() -> str:
     for r in range(mixing.ROUNDS):
         for d in mixing.DIMENSIONS:
             name = f"r{r}_{d}"
-            rounds.append(f"{name} AS (SELECT * REPLACE (coalesce(w * t_{d} / nullif(sum(w) OVER (PARTITION BY g_{d}), 0), 0) AS w) FROM {last})")
+            rounds.append(f"{name} AS (SELECT * REPLACE (coalesce(w * t_{d} / nullif(sum(w) OVER (PARTITION BY {d}), 0), 0) AS w) FROM {last})")
             last = name
-    share = lambda d: f"CASE WHEN sum(tokens) OVER (PARTITION BY {d}) / sum(tokens) OVER () < {mixing.MIN_SHARE} THEN '*' ELSE {d} END AS g_{d}"
-    groups = ", ".join(f"g_{d}" for d in mixing.DIMENSIONS)
-    power = ", ".join(f"pow(sum(own) OVER (PARTITION BY g_{d}), {mixing.ALPHA}) AS p_{d}, count(*) OVER (PARTITION BY g_{d}) AS n_{d}" for d in mixing.DIMENSIONS)
-    target = ", ".join(f"p_{d} / sum(p_{d} / n_{d}) OVER () AS t_{d}" for d in mixing.DIMENSIONS)
+    targets = []
+    for d in mixing.DIMENSIONS:
+        given = MIX_TARGETS.get(d)
+        weight = f"CASE {d} {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in given.items())} END" if given else "NULL"
+        targets.append(f"""a_{d} AS (SELECT {d}, sum(tokens) AS own, pow(sum(tokens), {mixing.ALPHA}) AS t, CAST({weight} AS DOUBLE) AS weight FROM cells GROUP BY 1),
+b_{d} AS (SELECT coalesce(sum(own) FILTER (weight IS NULL), 0) / sum(own) AS free, sum(t) FILTER (weight IS NULL) AS free_t, sum(weight) AS named FROM a_{d}),
+c_{d} AS (SELECT {d}, {f"coalesce(weight, coalesce(named * free / nullif(1 - free, 0), 1.0) * t / free_t, 0)" if given else "t"} AS t FROM a_{d}, b_{d}),
+m_{d} AS (SELECT {d}, t / sum(t) OVER () AS t_{d} FROM c_{d})""")
+    errors = " UNION ALL ".join(f"SELECT abs(sum(w) - any_value(t_{d})) AS e FROM {last} GROUP BY {d}" for d in mixing.DIMENSIONS)
     return f"""
 WITH n AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS text,
                   greatest(1, len({_WORDS.format(text="text")})) AS tokens FROM documents),
 d AS (SELECT *, CASE WHEN contains(translate(text, 'LICENS', 'licens'), 'licens') THEN 'licence' WHEN tokens < 150 THEN 'note' WHEN tokens < 1500 THEN 'article' ELSE 'book' END AS topic FROM n),
 cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL),
-grouped AS (SELECT *, {", ".join(share(d) for d in mixing.DIMENSIONS)} FROM cells),
-pool0 AS (SELECT {groups}, sum(tokens) AS own FROM grouped GROUP BY ALL),
-pool1 AS (SELECT *, {power} FROM pool0),
-pool AS (SELECT *, own AS w, {target} FROM pool1),
+{", ".join(targets)},
+pool AS (SELECT *, tokens AS w FROM cells JOIN m_source USING (source) JOIN m_lang USING (lang) JOIN m_topic USING (topic)),
 {", ".join(rounds)},
-p AS (SELECT {groups}, round((w / own) / max(w / own) OVER (), 9) AS probability FROM {last})
-SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.tokens AS BIGINT) AS tokens, round(p.probability, 6) AS probability,
+classes AS (SELECT floor(log2(w / tokens) * {mixing.CLASSES}) AS class, sum(tokens) AS own, max(w / tokens) AS most FROM {last} WHERE w > 0 GROUP BY 1),
+top AS (SELECT max(most) AS most FROM (SELECT most, sum(own) OVER (ORDER BY class DESC) / sum(own) OVER () AS held FROM classes) WHERE held > {MIX_CLIP}),
+err AS (SELECT max(e) AS marginal_error FROM ({errors})),
+p AS (SELECT source, lang, topic, round(least(1.0, w / tokens / most), 9) AS probability FROM {last}, top)
+SELECT d.doc_id, d.source, d.lang, d.topic, CAST(d.tokens AS BIGINT) AS tokens, round(p.probability, 6) AS probability, round(marginal_error, 6) AS marginal_error,
        CAST(('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12)) AS BIGINT) / 281474976710656.0 < p.probability AS sampled
-FROM d JOIN grouped USING (source, lang, topic) JOIN p USING ({groups})
+FROM d JOIN p USING (source, lang, topic), err
 """
 
 

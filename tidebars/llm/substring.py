@@ -10,11 +10,13 @@ The corpus is its own reference, so shards grow with it: neither broadcasting al
 document through each can work at scale. What is broadcast to a document is instead what can concern it. A sweep
 over window hashes, sent to the partition of the hash in packed runs, names for every window of more than one document
 the smallest one; a document asks for those documents alone, and meets them in the shards they fall into.
-A shard asked for by very many documents is built again for every few hundred of them.
+A shard asked for by very many documents is built again for every few hundred of them. The sweep only routes: what is
+removed the automaton alone decides, by the sequence of its words, each as a 64-bit hash.
 
 Defined results: a null or short text loses nothing; a null doc_id neither loses nor serves as reference; rows that
 repeat a doc_id are one document as references and are cleaned row by row; an empty table gives no rows;
-columns other than doc_id and text are left alone.
+columns other than doc_id and text are left alone, whatever their names (clean() puts its measures in the place of
+columns that have their names; deduplicated() adds none).
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidebars.llm.arrow_text import U64, chunks, mix, ngram_hashes, word_bounds, word_hashes
-from tidebars.llm.store import materialize, shuffle_partitions, small_batches
+from tidebars.llm.store import REST, aside, materialize, restored, shuffle_partitions, small_batches
 
 WIDTH = 13
 #: Windows handled at a time by a task that sends them.
 RUN_WINDOWS = 500_000
+#: Windows that a task sweeps at most, about, and characters of a word with its space.
+WINDOWS, WORD_CHARS = 2_000_000, 6
 #: Words of an automaton, and documents that share one copy of a shard.
 SHARD_WORDS, STREAMED = 60_000, 500
 
@@ -166,7 +171,9 @@ def _send(docs: DataFrame, parts: int, width: int) -> DataFrame:
 
 def requests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, ref: for every window that starts in a smaller document too, some such document."""
-    parts = shuffle_partitions(docs.sparkSession)
+    # parts grow with the corpus, so that a task's windows stay within WINDOWS
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), chars // WORD_CHARS // WINDOWS)
 
     def run(batches):
         hashes, own, found = [], [], []
@@ -235,7 +242,7 @@ def spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     asked = materialize(requests(docs, width), "requests")
     n_refs = asked.select("ref").distinct().count()
     n_words = docs.agg(F.avg(F.length("text"))).first()[0] or 0.0
-    shards = max(1, int(n_refs * n_words / 6 / SHARD_WORDS))
+    shards = max(1, int(n_refs * n_words / WORD_CHARS / SHARD_WORDS))
     asked = asked.withColumn("shard", F.pmod(F.xxhash64("ref"), F.lit(shards)))
     streams = asked.select("shard", "doc_id").distinct()
     copies = streams.groupBy("shard").agg(F.ceil(F.count("*") / STREAMED).cast("int").alias("copies"))
@@ -271,20 +278,20 @@ def spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return materialize(found.groupBy("doc_id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
-def clean(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Every row with all its columns, text being its kept words with one space between; and n_words, n_removed, kept_sha256."""
+MEASURES = ("n_words", "n_removed", "kept_sha256")
+
+
+def _cleaned(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text (kept words with one space between), the other columns in one, and the measures."""
     small_batches(docs.sparkSession)
-    removed = spans(docs, width).withColumnsRenamed({"doc_id": "_doc", "h": "_h"})
-    rest = [c for c in docs.columns if c != "text"]
-    rows = docs.withColumn("text", F.col("text").cast("string"))
-    rows = rows.join(removed.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_h")), "left").select(*[F.col(f"`{c}`") for c in rest], "text", F.col("spans").alias("_spans"))
-    added = ("text", "n_words", "n_removed", "kept_sha256")
+    removed = spans(docs, width).withColumnsRenamed({"doc_id": "owner"})
+    rows = aside(docs, ("doc_id", "text")).withColumn("text", F.col("text").cast("string"))
+    rows = rows.join(removed.hint("merge"), (F.col("doc_id") == F.col("owner")) & (F.xxhash64("text") == F.col("h")), "left").select("doc_id", F.col(f"`{REST}`"), "text", "spans")
 
     def run(batches):
         for batch in batches:
-            n = len(rest)
             out: list[list] = [[], [], [], []]
-            for text, cut in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True):
+            for text, cut in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 kept = words
                 if cut:
@@ -295,11 +302,22 @@ def clean(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 joined = b" ".join(kept)
                 for column, value in zip(out, (joined.decode(), len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest()), strict=True):
                     column.append(value)
-            arrays = [*batch.columns[:n], pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*rest, *added])
+            arrays = [*batch.columns[:2], *(pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", REST, "text", *MEASURES])
+
+    kinds = (StringType(), LongType(), LongType(), StringType())
+    added = [StructField(n, t) for n, t in zip(("text", *MEASURES), kinds, strict=True)]
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], rows.schema[REST], *added]))
+
+
+def clean(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """Every row with its columns, text being its kept words with one space between; then n_words, n_removed, kept_sha256."""
+    return restored(_cleaned(docs, width), docs, ("doc_id", "text"), MEASURES)
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[F.col(f"`{c}`") for c in rest]).schema)
-    return rows.mapInArrow(run, f"{schema}, text string, n_words long, n_removed long, kept_sha256 string")
+def deduplicated(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The columns of docs with cleaned texts; rows that lost all their words go."""
+    return restored(_cleaned(docs, width).where("n_words > n_removed OR n_removed = 0"), docs, ("doc_id", "text"))
 
 
 def report(docs: DataFrame) -> DataFrame:
