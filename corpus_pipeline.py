@@ -1,6 +1,9 @@
 """Corpus pipeline: quality rules, n-gram Jaccard join, substring dedup, mixing, packing.
 
-Each stage takes what the one before it kept and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes what the one before it kept and returns a DataFrame; all but the last return the columns of documents,
+whatever they are named (n_chars, where there is one, is that of the new text). A stage that gets no rows returns none.
+Null texts have no words: quality rules reject them, later stages pass them on. Null doc_ids are judged as rows of their own,
+have no duplicates, and lose no spans; repeated rows share their fate, but for packing, which packs each.
 """
 
 from __future__ import annotations
@@ -9,16 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.llm import jaccard, mixing, packing, quality, substring
-from tidebars.llm.queries import PACK_END, tokenizer_path
+from tidebars.llm.queries import MIX_CLIP, MIX_TARGETS, PACK_END, tokenizer_path
 from tidebars.llm.store import materialize
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without the lines that are frequent in their source.
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
-    The count of documents alone decides: a share of the source would spare lines of many documents in a large one.
-    """
-    return quality.clean(docs, line_share=0.0).withColumn("n_chars", F.length("text").cast("long"))
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without the lines that are frequent in their source."""
+    return _measured(quality.clean(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,13 +35,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans that a document with a smaller doc_id has; a text left without words goes."""
-    out = substring.clean(docs).where("n_words > n_removed OR n_removed = 0")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _measured(substring.deduplicated(docs))
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by probabilities raked to the marginals of source, language and topic."""
-    return mixing.mix(docs).where("sampled").select(*docs.columns)
+    """Documents sampled by probabilities raked to the marginals of source, language and topic.
+
+    A language or topic that the documents lack gives its share to the others.
+    """
+    return mixing.sampled(docs, targets=MIX_TARGETS, strict=False, clip=MIX_CLIP)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +65,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{i + 1}")
+            docs = before = materialize(docs, f"stage-{i + 1}", instead_of=before)
     return docs
