@@ -238,3 +238,61 @@ def test_stationary_blocks():
     follows = (at[:, 1:] == (at[:, :-1] + 1) % 50).mean()
     assert abs(follows - (0.8 + 0.2 / 50)) < 0.01 and np.bincount(at.ravel()).std() < 0.2 * 400
     assert (inference.stationary_indices(1, 3, 0.5, 1) == 0).all()
+
+
+def test_publish_swaps_together_or_not_at_all(spark, tmp_path):
+    from tidebars.sources import governed
+
+    for name in ("a", "b"):
+        spark.range(1).write.parquet(f"file://{tmp_path}/{name}")
+        spark.range(5).write.parquet(f"file://{tmp_path}/staged/{name}")
+    with pytest.raises(FileNotFoundError):
+        governed.publish(spark, {f"file://{tmp_path}/staged/a": f"file://{tmp_path}/a", f"file://{tmp_path}/staged/none": f"file://{tmp_path}/b"})
+    assert spark.read.parquet(f"file://{tmp_path}/a").count() == spark.read.parquet(f"file://{tmp_path}/b").count() == 1
+    governed.publish(spark, {f"file://{tmp_path}/staged/{n}": f"file://{tmp_path}/{n}" for n in ("a", "b")})
+    assert spark.read.parquet(f"file://{tmp_path}/a").count() == spark.read.parquet(f"file://{tmp_path}/b").count() == 5
+
+
+def test_text_sinks_are_held_against_their_manifest(spark, tmp_path):
+    from tidebars.sources import governed
+
+    rows = spark.createDataFrame([(2, "b,\"x\"", 0.1 + 0.2), (1, None, None), (3, "", 1e-300)], "k int, t string, x double")
+    for save, load, name in ((governed.save_csv, governed.load_csv, "csv"), (governed.save_json, governed.load_json, "json")):
+        entry = save(rows, f"file://{tmp_path}/{name}", ["k"])
+        assert sorted(map(tuple, load(spark, entry).collect())) == sorted(map(tuple, rows.collect()))
+        with pytest.raises(ValueError):
+            load(spark, entry | {"rows": 4})
+
+
+def test_resimulation_disagrees_with_tampered_trades(spark):
+    from tidebars.operators import trades
+
+    bars = features.prepared(make_bars(spark, 400))
+    opps = events.opportunities(bars)
+    found = events.first_passage(opps, bars)
+    assert {r["status"]: r["n"] for r in trades.reconcile(found, trades.resimulate(opps, bars)).collect()} == {"equal": found.count()}
+    wrong = found.withColumn("gross_r", F.when(F.col("decision_bar") % 10 == 0, F.col("gross_r") + 0.5).otherwise(F.col("gross_r"))).where("decision_bar % 10 <> 1")
+    got = {r["status"]: r["n"] for r in trades.reconcile(wrong, trades.resimulate(opps, bars)).collect()}
+    assert set(got) == {"equal", "different", "only_again"} and sum(got.values()) == found.count()
+
+
+def test_gates_name_what_fails(spark):
+    from tidebars.operators import evaluation
+
+    rows = spark.createDataFrame([(1.0, None), (0.0, 2.0), (1.0, 2.0)], "a double, b double")
+    gates = {"a_positive": F.col("a") > 0, "b_large": F.col("b") > 1}
+    assert [r[0] for r in rows.select(evaluation.failed_gates(gates)).collect()] == [["b_large"], ["a_positive"], []]
+
+
+def test_residual_ic_equals_regression_of_ranks(spark):
+    from tidebars.operators import evaluation
+
+    rng = np.random.default_rng(4)
+    z = rng.standard_normal((200, 3))
+    x, y = z @ [1.0, 0.5, -0.3] + rng.standard_normal(200), z @ [0.2, -0.7, 0.4] + rng.standard_normal(200)
+    rows = spark.createDataFrame([(dt.date(2024, 1, 2), float(a), float(b), *map(float, c)) for a, b, c in zip(x, y, z, strict=True)], "trade_date date, x double, y double, p double, q double, r double")
+    got = evaluation.residual_ic(rows, "x", "y", ["p", "q", "r"]).first()["partial_ic"]
+    rank = lambda v: np.argsort(np.argsort(v)).astype(float)
+    basis = np.column_stack([np.ones(200), *[rank(z[:, i]) for i in range(3)]])
+    rest = [rank(v) - basis @ np.linalg.lstsq(basis, rank(v), rcond=None)[0] for v in (x, y)]
+    assert math.isclose(got, np.corrcoef(*rest)[0, 1], abs_tol=1e-9)

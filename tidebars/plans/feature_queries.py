@@ -385,3 +385,20 @@ z1 AS (SELECT {K}, list_transform(a, lambda x: (x - list_avg(list_sort(a)[4:27])
 z2 AS (SELECT *, list_transform(range(2, 31), lambda i: p[i] - p[i - 1]) AS d, list_transform(range(1, 31), lambda i: CASE WHEN i < 3 THEN p[i] ELSE list_aggregate(p[i - 2:i], 'median') END) AS t FROM z1)
 SELECT {K}, round(list_sum(list_transform(p, lambda x: x * x)), 5) + 0.0 AS p1_energy, round(list_sum(list_transform(d, lambda x: x * x)), 5) + 0.0 AS p2_energy, round(list_sum(list_transform(t, lambda x: x * x)), 5) + 0.0 AS p3_energy FROM z2""",
 }
+
+#: The columns of feature_matrix with their SQL, family by family: CTEs, columns, source, windows, plain ones.
+_MATRIX = (
+    (_F, _BPS, "f", "", ()),
+    (_F, _MOMENTUM, "f", windows(15, 60), _BOOL),
+    (_F, _VOL, "f", "", ()),
+    (_F, _CANDLES, "f", windows(2, 3), _BOOL),
+    (_F, _VOLUME, "f", windows(10, 60), ()),
+    (f"{_F}, {_DAY}", _VWAP, "g", _DAY_W, ()),
+    (f"{_F}, {_SESSION}", _SESSION_COLUMNS, "s", "", ()),
+    (f"{_F}, {_TREND_CTE}", _TREND, "t", windows(14, 15, 29, 30, 60), ()),
+    (_ALL_CTE, _EXP, "e2", _DAY_W, ()),
+)
+MATRIX_FEATURES = [n for _, columns, _, _, _ in _MATRIX for n in columns] + ["directional_streak", "compression_age_exp"]
+MATRIX_SQL = "SELECT * FROM " + " JOIN ".join(f"({cte} {pick(columns, source, window, digits=_digits(columns, 4), plain=plain)}) m{i}" + (f" USING ({K})" if i else "") for i, (cte, columns, source, window, plain) in enumerate(_MATRIX))
+MATRIX_SQL += f" JOIN ({ORACLE_SQL['streak']}) ms USING ({K}) JOIN ({ORACLE_SQL['compression_age']}) ma USING ({K})"
+ORACLE_SQL["feature_matrix"] = MATRIX_SQL

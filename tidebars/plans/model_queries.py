@@ -191,17 +191,6 @@ def robust_preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(q)).withColumn("z", z).groupBy("research_partition").agg(rounded(F.avg("z")).alias("mean_z"), rounded(F.max("z")).alias("max_z"), rounded(F.min("z")).alias("min_z"))
 
 
-def date_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in training and assessment of each expanding fold: dates numbered once, folds are a bounded table."""
-    rows = cross_section(spark, sf_dir)
-    dates = rows.select("trade_date").distinct().withColumn("no", F.row_number().over(Window.orderBy("trade_date")) - 1)
-    n = dates.count()
-    folds = [(i, *f) for i, f in enumerate(inference.date_folds(n, n // 2, max(1, n // 8), 5))]
-    table_ = spark.createDataFrame(folds, "fold int, train_to long, assess_from long, assess_to long")
-    per_date = rows.groupBy("trade_date").agg(F.count("*").alias("rows")).join(dates, "trade_date").crossJoin(F.broadcast(table_))
-    return per_date.groupBy("fold").agg(F.sum(F.when(c("no") <= c("train_to"), c("rows")).otherwise(0)).alias("train_rows"), F.sum(F.when(c("no").between(c("assess_from"), c("assess_to")), c("rows")).otherwise(0)).alias("assess_rows"))
-
-
 def ljung_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Autocorrelation terms of returns within runs, pooled, and the statistic over five lags."""
     from tidebars.functions.windows import by_run
@@ -251,18 +240,6 @@ def prediction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("research_partition").agg(F.count("*").alias("n"), rounded(F.avg(F.abs(e))).alias("mae"), rounded(F.sqrt(F.avg(e * e))).alias("rmse"), rounded(corr(c("p"), c("y"))).alias("pearson"), rounded(F.avg(F.when(c("y") != 0, (F.signum("p") == F.signum("y")).cast("double")))).alias("sign_accuracy"))
 
 
-def univariate_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features by horizons: mean daily rank correlation with t and retention, unpivoted into one grouped plan."""
-    from tidebars.operators import labels
-
-    bars = features.prepared(event_bars(spark, sf_dir))
-    rows = labels.labelled(bars, 4).where("reason = 'available' AND entry_session IS NOT NULL")
-    long = rows.unpivot(["trade_date", "research_partition", "bar_id", "return_atr"], ["disp5", "clv", "relvol20"], "feature", "x").where("x IS NOT NULL AND return_atr IS NOT NULL")
-    long = long.withColumns({"rx": aggregates.average_rank(c("x"), ["feature", "trade_date"]), "ry": aggregates.average_rank(c("return_atr"), ["feature", "trade_date"])})
-    daily = long.groupBy("feature", "research_partition", "trade_date").agg(F.count("*").alias("n"), corr(c("rx"), c("ry")).alias("ic")).where("n >= 5 AND ic IS NOT NULL")
-    return daily.groupBy("feature", "research_partition").agg(F.count("*").alias("dates"), rounded(F.avg("ic")).alias("mean_ic"), rounded(F.avg("ic") / F.stddev_samp("ic") * F.sqrt(F.count("*"))).alias("t"))
-
-
 def tick_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = governed.tick_grid_report(event_bars(spark, sf_dir), ["open", "high", "low", "close"], 0.05, 1e-6)
     return out.select("field", rounded("worst").alias("worst"), "off")
@@ -328,7 +305,7 @@ QUERIES: dict[str, sql.Query] = {
     f.__name__: f
     for f in (
         ind_ema, ind_rsi, ind_frames, vwap_rolling, garch_filter, garch_fit, kalman, ar_forecast, thinning, flex_exits, prop_firm, challenge, bootstrap_ci, boot_stationary, deflated_sharpe, pbo, ridge_fit, logistic_fit, isotonic,
-        brier, robust_preprocess, date_folds, ljung_box, corr_clusters, quantiles_exact, rank_global, prediction_summary, univariate_screen, tick_grid, ohlc_check, guarded_scan, hash_chain, json_props, stream_bars, stream_sessions, staleness,
+        brier, robust_preprocess, ljung_box, corr_clusters, quantiles_exact, rank_global, prediction_summary, tick_grid, ohlc_check, guarded_scan, hash_chain, json_props, stream_bars, stream_sessions, staleness,
     )
 }
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidebars.plans import aggregate_queries, event_queries, feature_queries, label_queries, model_queries, research_queries
+from tidebars.plans import aggregate_queries, evaluation_queries, event_queries, feature_queries, label_queries, model_queries, policy_queries, research_queries
 
-_MODULES = (feature_queries, label_queries, aggregate_queries, event_queries, model_queries, research_queries)
+_MODULES = (feature_queries, label_queries, aggregate_queries, event_queries, model_queries, research_queries, evaluation_queries, policy_queries)
 
 
 def queries() -> dict:

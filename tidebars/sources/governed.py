@@ -157,3 +157,77 @@ def ohlc_violations(bars: DataFrame) -> DataFrame:
     for p in prices:
         bad = bad | p.isNull() | F.isnan(p) | (p <= 0)
     return bars.where(bad | (c("high") < F.greatest("open", "close")) | (c("low") > F.least("open", "close")))
+
+
+def _saved(rows: DataFrame, path: str, keys: list[str], kind: str) -> dict:
+    """Written in order of its keys (ranges of them, each sorted), so equal tables make equal files; the manifest entry."""
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    writer = ordered.write.mode("error")
+    if kind == "csv":
+        writer = writer.option("header", "true").option("nullValue", "").option("emptyValue", '""')
+    writer.format(kind).save(path)
+    entry = {"path": path, "kind": kind, "columns": [[f.name, f.dataType.simpleString()] for f in rows.schema]}
+    n, digest = content_digest(_loaded(rows.sparkSession, entry))
+    return entry | {"rows": n, "digest": digest}
+
+
+def _loaded(spark: SparkSession, entry: dict) -> DataFrame:
+    schema = ", ".join(f"`{n}` {t}" for n, t in entry["columns"])
+    reader = spark.read.schema(schema)
+    return (reader.option("header", "true").option("nullValue", "").option("emptyValue", '""') if entry["kind"] == "csv" else reader).format(entry["kind"]).load(entry["path"])
+
+
+def _verified(spark: SparkSession, entry: dict, kind: str) -> DataFrame:
+    if entry["kind"] != kind:
+        raise ValueError(f"not a {kind} table")
+    rows = _loaded(spark, entry)
+    if content_digest(rows) != (entry["rows"], entry["digest"]):
+        raise ValueError(f"{entry['path']} is not what its manifest says")
+    return rows
+
+
+def save_csv(rows: DataFrame, path: str, keys: list[str]) -> dict:
+    return _saved(rows, path, keys, "csv")
+
+
+def save_json(rows: DataFrame, path: str, keys: list[str]) -> dict:
+    return _saved(rows, path, keys, "json")
+
+
+def load_csv(spark: SparkSession, entry: dict) -> DataFrame:
+    """The table of a manifest entry, held against its count and digest first."""
+    return _verified(spark, entry, "csv")
+
+
+def load_json(spark: SparkSession, entry: dict) -> DataFrame:
+    return _verified(spark, entry, "json")
+
+
+def publish(spark: SparkSession, moves: dict[str, str]) -> None:
+    """Staged folders renamed to their places together: what stood there is set aside first and put back if a step fails."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    done: list[tuple] = []
+    try:
+        for source, target in moves.items():
+            a, b, aside = hadoop(source), hadoop(target), hadoop(f"{target}.before")
+            fs = b.getFileSystem(conf)
+            if not fs.exists(a):
+                raise FileNotFoundError(source)
+            had = fs.exists(b)
+            if had and not fs.rename(b, aside):
+                raise OSError(f"could not set {target} aside")
+            done.append((fs, a, b, aside, had, False))
+            if not fs.rename(a, b):
+                raise OSError(f"could not publish {target}")
+            done[-1] = (fs, a, b, aside, had, True)
+    except Exception:
+        for fs, a, b, aside, had, moved in reversed(done):
+            if moved:
+                fs.rename(b, a)
+            if had:
+                fs.rename(aside, b)
+        raise
+    for fs, _, _, aside, had, _ in done:
+        if had:
+            fs.delete(aside, True)
