@@ -164,7 +164,7 @@ def _saved(rows: DataFrame, path: str, keys: list[str], kind: str) -> dict:
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     writer = ordered.write.mode("error")
     if kind == "csv":
-        writer = writer.option("header", "true").option("nullValue", "").option("emptyValue", '""')
+        writer = writer.option("header", "true").option("nullValue", "\\N").option("emptyValue", '""')
     writer.format(kind).save(path)
     entry = {"path": path, "kind": kind, "columns": [[f.name, f.dataType.simpleString()] for f in rows.schema]}
     n, digest = content_digest(_loaded(rows.sparkSession, entry))
@@ -174,7 +174,7 @@ def _saved(rows: DataFrame, path: str, keys: list[str], kind: str) -> dict:
 def _loaded(spark: SparkSession, entry: dict) -> DataFrame:
     schema = ", ".join(f"`{n}` {t}" for n, t in entry["columns"])
     reader = spark.read.schema(schema)
-    return (reader.option("header", "true").option("nullValue", "").option("emptyValue", '""') if entry["kind"] == "csv" else reader).format(entry["kind"]).load(entry["path"])
+    return (reader.option("header", "true").option("nullValue", "\\N").option("emptyValue", "") if entry["kind"] == "csv" else reader).format(entry["kind"]).load(entry["path"])
 
 
 def _verified(spark: SparkSession, entry: dict, kind: str) -> DataFrame:
