@@ -10,7 +10,7 @@ from tidebars.functions.order import edges_of, exact_quantiles, global_rank
 from tidebars.functions.windows import corr, log_ratio
 from tidebars.operators import aggregates, events, features, inference, sequential
 from tidebars.plans import sql
-from tidebars.plans.aggregate_queries import SECTION
+from tidebars.plans.aggregate_queries import DAYS, SECTION
 from tidebars.plans.sql import r, rounded
 from tidebars.sources import governed
 from tidebars.sources.bars import cross_section, daily_prices, event_bars, table
@@ -102,28 +102,34 @@ def flex_exits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("trade_date", "entry_bar", "exit_bar", "exit_reason", rounded("gross_r").alias("gross_r"), rounded("mfe_r").alias("mfe_r"), rounded("mae_r").alias("mae_r"))
 
 
+POLICIES = (sequential.Policy("static", trailing=False), sequential.Policy("trailing"), sequential.Policy("strict", drawdown=1500.0, daily_loss=700.0))
+LAMBDAS = (0.0, 0.01, 0.1, 1.0)
+#: Accounts of a rotation.
+ACCOUNTS = 8
+
+
 def _pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = daily_prices(spark, sf_dir).where("high > low").withColumn("r", (c("close") - c("open")) / (c("high") - c("low")))
     return rows.select(c("l_returnflag").alias("account"), "trade_date", F.round(800 * c("r"), 2).alias("pnl"), "r")
 
 
 def prop_firm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policies = [sequential.Policy("static", trailing=False), sequential.Policy("trailing"), sequential.Policy("strict", drawdown=1500.0, daily_loss=700.0)]
-    return sequential.prop_firm(_pnl(spark, sf_dir), policies).withColumn("equity", rounded("equity", 2))
+    return sequential.prop_firm(_pnl(spark, sf_dir), list(POLICIES)).withColumn("equity", rounded("equity", 2))
 
 
 def challenge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accounts of each flag used one after the other."""
     import pandas as pd
 
-    policy = sequential.Policy("trailing")
+    policy = POLICIES[1]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("trade_date")
-        got = sequential.challenge_rotation(pdf["pnl"].to_numpy(), policy, 8)
+        got = sequential.challenge_rotation(pdf["pnl"].to_numpy(), policy, ACCOUNTS)
         return pd.DataFrame([(pdf["account"].iloc[0], *g) for g in got], columns=["account", "attempt", "days", "outcome", "equity"])
 
-    return _pnl(spark, sf_dir).groupBy("account").applyInPandas(run, "account string, attempt long, days long, outcome string, equity double")
+    out = _pnl(spark, sf_dir).groupBy("account").applyInPandas(run, "account string, attempt long, days long, outcome string, equity double")
+    return out.withColumn("equity", rounded("equity", 2))
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +166,7 @@ def ridge_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge coefficients by penalty on Development rows, and their error there: one Gram aggregate."""
     rows = cross_section(spark, sf_dir).withColumns({"x1": c("feature") / 50, "x2": c("feature_b") * 5, "y": c("target") / 1e5})
     gram, moment, n = inference.gram_of(rows, ["x1", "x2"], "y", c("research_partition") == "Development")
-    fits = [(lam, *inference.ridge_from_gram(gram, moment, n, lam).tolist()) for lam in (0.0, 0.01, 0.1, 1.0)]
+    fits = [(lam, *inference.ridge_from_gram(gram, moment, n, lam).tolist()) for lam in LAMBDAS]
     return spark.createDataFrame(fits, "lambda double, b0 double, b1 double, b2 double").select("lambda", *[rounded(b).alias(b) for b in ("b0", "b1", "b2")])
 
 
@@ -352,3 +358,53 @@ SELECT lag, pairs, {r('s / (n * v)')} AS rho, {r('n * (n + 2) * pow(s / (n * v),
 h AS (SELECT user_id, s, count(*) AS n FROM g GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS events, max(n) AS longest FROM h GROUP BY 1""",
     "staleness": "WITH x AS (SELECT event_type, floor(epoch(lead(ts) OVER w)) - floor(epoch(ts)) AS age FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_type, count(*) AS n, count(*) FILTER (age > 120) AS stale FROM x WHERE age IS NOT NULL GROUP BY 1",
 }
+
+
+_PNL = f"{DAYS}, pn AS (SELECT l_returnflag AS account, trade_date, round(800 * ((close - open) / (high - low)), 2) AS pnl, row_number() OVER (PARTITION BY l_returnflag ORDER BY trade_date) AS i FROM days WHERE high > low)"
+_POLICY_ROWS = ", ".join(f"('{p.name}', {p.balance}::DOUBLE, {p.target}::DOUBLE, {p.daily_loss}::DOUBLE, {p.drawdown}::DOUBLE, {str(p.trailing).lower()}, {p.best_day_share}::DOUBLE, {p.least_days})" for p in POLICIES)
+
+
+def _outcome(p: str) -> str:
+    """The first rule of a day, with the policy's numbers in columns of p."""
+    return f"""CASE WHEN pnl <= -{p}daily_loss THEN 'daily_loss' WHEN equity <= CASE WHEN {p}trails THEN peak ELSE {p}balance END - {p}drawdown THEN 'drawdown'
+  WHEN equity - {p}balance >= {p}target AND i >= {p}least_days AND best <= {p}share * (equity - {p}balance) THEN 'passed' END"""
+
+
+_ROTATION = POLICIES[1]
+_FLEX = f"""fo0 AS (SELECT *, lead(open) OVER o AS entry_price, lead(bar_id) OVER o AS entry_bar, lead(trade_date) OVER o AS entry_date, lead(session) OVER o AS es FROM f {sql.windows()}),
+fo AS (SELECT product, trade_date, run_id, entry_bar, entry_price, atr20 AS atr FROM fo0 WHERE entry_date = trade_date AND es IS NOT NULL AND atr20 > 0),
+fp AS (SELECT fo.*, b.bar_id, b.close AS c_, b.low, b.high, coalesce(greatest(0, max(b.high - entry_price) OVER q), 0) AS best_before, count(*) OVER q AS passed, greatest(0, max(b.high - entry_price) OVER u) AS best, greatest(0, max(entry_price - b.low) OVER u) AS worst
+  FROM fo JOIN f b ON b.product = fo.product AND b.trade_date = fo.trade_date AND b.run_id = fo.run_id AND b.bar_id BETWEEN entry_bar AND entry_bar + 11
+  WINDOW q AS (PARTITION BY fo.product, entry_bar ORDER BY b.bar_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), u AS (PARTITION BY fo.product, entry_bar ORDER BY b.bar_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+fs AS (SELECT *, greatest(entry_price - 1.0 * atr, CASE WHEN passed > 0 AND best_before >= 0.5 * atr THEN entry_price END, CASE WHEN passed > 0 THEN entry_price + best_before - 0.8 * atr END) AS stop, entry_price + 2.0 * atr AS target FROM fp),
+fh AS (SELECT *, CASE WHEN low <= stop THEN 'stop' WHEN high >= target THEN 'target' END AS hit FROM fs),
+fe AS (SELECT product, trade_date, entry_bar, coalesce(min(bar_id) FILTER (hit IS NOT NULL), max(bar_id)) AS exit_bar, max(bar_id) AS last_bar, entry_bar + 11 AS full_bar FROM fh GROUP BY product, trade_date, entry_bar),
+fx AS (SELECT e.product, e.trade_date, e.entry_bar, e.exit_bar, coalesce(h.hit, CASE WHEN e.last_bar = e.full_bar THEN 'time_exit' ELSE 'boundary_exit' END) AS exit_reason, (CASE h.hit WHEN 'stop' THEN h.stop WHEN 'target' THEN h.target ELSE h.c_ END - h.entry_price) / h.atr AS gross_r, h.best / h.atr AS mfe_r, h.worst / h.atr AS mae_r
+  FROM fe e JOIN fh h ON h.product = e.product AND h.entry_bar = e.entry_bar AND h.bar_id = e.exit_bar),
+fw AS (SELECT product, trade_date, min(entry_bar) AS entry_bar FROM fx GROUP BY ALL
+  UNION ALL SELECT w.product, w.trade_date, (SELECT min(n.entry_bar) FROM fx n WHERE n.product = w.product AND n.trade_date = w.trade_date AND n.entry_bar > l.exit_bar) FROM fw w JOIN fx l ON l.product = w.product AND l.trade_date = w.trade_date AND l.entry_bar = w.entry_bar)"""
+
+ORACLE_SQL |= {
+    "ridge_fit": f"""WITH {SECTION}, x AS (SELECT feature / 50 AS x1, feature_b * 5 AS x2, target / 1e5 AS y FROM s WHERE research_partition = 'Development'),
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2 FROM x),
+b AS (SELECT *, ((v2 + lam) * c1 - c12 * c2) / ((v1 + lam) * (v2 + lam) - c12 * c12) AS b1, ((v1 + lam) * c2 - c12 * c1) / ((v1 + lam) * (v2 + lam) - c12 * c12) AS b2 FROM m, (VALUES {', '.join(f'({x}::DOUBLE)' for x in LAMBDAS)}) l(lam))
+SELECT lam AS "lambda", {r('my - b1 * m1 - b2 * m2')} AS b0, {r('b1')} AS b1, {r('b2')} AS b2 FROM b""",
+    "prop_firm": f"""WITH {_PNL}, po(policy, balance, target, daily_loss, drawdown, trails, share, least_days) AS (VALUES {_POLICY_ROWS}),
+e AS (SELECT po.*, account, i, pnl, balance + sum(pnl) OVER w AS equity, greatest(0, max(pnl) OVER w) AS best FROM pn, po WINDOW w AS (PARTITION BY policy, account ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, greatest(balance, max(equity) OVER (PARTITION BY policy, account ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS peak FROM e),
+o AS (SELECT *, {_outcome('')} AS outcome FROM p),
+d AS (SELECT policy, account, coalesce(min(i) FILTER (outcome IS NOT NULL), max(i)) AS day FROM o GROUP BY ALL)
+SELECT o.policy, o.account, coalesce(outcome, 'open') AS outcome, day, {r('equity', 2)} AS equity FROM d JOIN o ON o.policy = d.policy AND o.account = d.account AND o.i = d.day""",
+    "challenge": f"""WITH RECURSIVE {_PNL.replace('AS i FROM', 'AS n FROM')}, po(balance, target, daily_loss, drawdown, trails, share, least_days) AS (VALUES ({_ROTATION.balance}::DOUBLE, {_ROTATION.target}::DOUBLE, {_ROTATION.daily_loss}::DOUBLE, {_ROTATION.drawdown}::DOUBLE, {str(_ROTATION.trailing).lower()}, {_ROTATION.best_day_share}::DOUBLE, {_ROTATION.least_days})),
+st(account, n, attempt, i, equity, high, best, outcome) AS (
+  SELECT DISTINCT account, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 'start' FROM pn
+  UNION ALL SELECT account, n, attempt, i, equity, greatest(peak, equity), best, {_outcome('po.')} FROM (
+    SELECT s.account, q.n, q.pnl, CASE WHEN s.outcome IS NULL THEN s.attempt ELSE s.attempt + 1 END AS attempt, CASE WHEN s.outcome IS NULL THEN s.i + 1 ELSE 1 END AS i, CASE WHEN s.outcome IS NULL THEN s.equity ELSE {_ROTATION.balance} END + q.pnl AS equity,
+      CASE WHEN s.outcome IS NULL THEN s.high ELSE {_ROTATION.balance} END AS peak, greatest(CASE WHEN s.outcome IS NULL THEN s.best ELSE 0 END, q.pnl) AS best FROM st s JOIN pn q ON q.account = s.account AND q.n = s.n + 1) x, po WHERE attempt <= {ACCOUNTS})
+SELECT account, attempt, max(i) AS days, coalesce(max(outcome), 'open') AS outcome, {r('arg_max(equity, i)', 2)} AS equity FROM st WHERE attempt > 0 GROUP BY account, attempt""",
+    "flex_exits": f"{_RF}, {_FLEX} SELECT fx.trade_date, fx.entry_bar, exit_bar, exit_reason, {r('gross_r')} AS gross_r, {r('mfe_r')} AS mfe_r, {r('mae_r')} AS mae_r FROM fw JOIN fx USING (product, trade_date, entry_bar)",
+    "kalman": f"""{_RF}, kr AS (SELECT product, bar_ts, bar_id, run_id, ret, row_number() OVER (PARTITION BY run_id ORDER BY bar_id) - 1 AS i FROM f WHERE ret IS NOT NULL),
+ks(run_id, i, level, p, prior, s) AS (SELECT run_id, 0::BIGINT, ret + 1.01 / 2.01 * (ret - ret), 1.01 * (1 - 1.01 / 2.01), ret, 2.01::DOUBLE FROM kr WHERE i = 0
+  UNION ALL SELECT k.run_id, x.i, k.level + (k.p + 0.01) / (k.p + 1.01) * (x.ret - k.level), (k.p + 0.01) * (1 - (k.p + 0.01) / (k.p + 1.01)), k.level, k.p + 1.01 FROM ks k JOIN kr x ON x.run_id = k.run_id AND x.i = k.i + 1)
+SELECT {K}, CASE WHEN x.i >= 15 THEN {r('prior')} END AS prior, CASE WHEN x.i >= 15 THEN {r('(ret - prior) / sqrt(s)')} END AS innovation, CASE WHEN x.i >= 15 THEN {r('(s - 1.0) / s')} END AS gain FROM kr x JOIN ks USING (run_id, i)""",
+}
