@@ -296,3 +296,12 @@ def test_residual_ic_equals_regression_of_ranks(spark):
     basis = np.column_stack([np.ones(200), *[rank(z[:, i]) for i in range(3)]])
     rest = [rank(v) - basis @ np.linalg.lstsq(basis, rank(v), rcond=None)[0] for v in (x, y)]
     assert math.isclose(got, np.corrcoef(*rest)[0, 1], abs_tol=1e-9)
+
+
+def test_max_sharpe_p_tells_an_effect_from_the_best_of_noise():
+    rng = np.random.default_rng(2)
+    noise = rng.standard_normal((250, 12))
+    best = int(np.argmax(noise.mean(axis=0) / noise.std(axis=0)))
+    assert inference.max_sharpe_p(noise, best, 1, 400) > 0.05
+    noise[:, 3] += 0.5
+    assert inference.max_sharpe_p(noise, 3, 1, 400) < 0.01 and inference.max_sharpe_p(np.zeros((20, 2)), 0, 1, 50) == 1.0

@@ -69,6 +69,8 @@ def redundancy_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = evaluation.representatives(table)
     # as many rows as there are clusters
     picked = [tuple(x) for x in chosen.select("feature", "cluster", "score").orderBy(F.desc("score"), "feature").collect()]
+    if not picked:
+        return spark.createDataFrame([], "feature string, cluster string, score double, anchor boolean, partial double, frozen boolean")
     anchor = picked[0][0]
     partial = evaluation.partial_scores(rows, [x[0] for x in picked[1:]], "y_4", anchor)
     out = spark.createDataFrame(picked, "feature string, cluster string, score double").join(partial, "feature", "left")
@@ -121,6 +123,25 @@ def refit_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "trade_date").select("trade_date", "pairs", rounded("model").alias("model"), rounded("anchor").alias("anchor"), rounded(c("model") - c("anchor")).alias("delta"))
 
 
+def combination_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Development decides, Validation is read once: the penalty by walk-forward, a refit, its daily rank correlation beside the
+    anchor's, the gates that fail; nothing is published unless all hold."""
+    rows = _frame(spark, sf_dir).select("research_partition", "trade_date", "bar_id", *X, "y_4").dropna()
+    dev = rows.where("research_partition = 'Development'").drop("research_partition")
+    table = evaluation.choose_penalty(evaluation.walk_forward(dev, *_folds(spark, dev), list(X), "y_4", list(PENALTIES)))
+    chosen = table.where("chosen").select("penalty", "mean_ic").first()
+    if chosen is None:
+        return spark.createDataFrame([], "penalty double, oof_ic double, days long, model double, anchor double, failures string, published boolean")
+    penalty, oof = chosen
+    fit = evaluation.refit(rows, list(X), "y_4", penalty).select("trade_date", F.round("prediction", 6).alias("prediction"), F.round(X[0], 6).alias("anchor"), F.round("y_4", 6).alias("y"))
+    a = aggregates.daily_spearman(fit, "prediction", "y").agg(F.count("*").alias("days"), F.avg("rho").alias("model"))
+    b = aggregates.daily_spearman(fit, "anchor", "y").agg(F.avg("rho").alias("anchor"))
+    out = a.join(b).withColumns({"penalty": F.lit(penalty), "oof_ic": F.lit(oof)})
+    gates = {"oof": c("oof_ic") > 0.02, "days": c("days") >= 3, "sign": F.signum("model") == F.signum("oof_ic"), "beats_anchor": c("model") > c("anchor")}
+    failures = F.array_join(evaluation.failed_gates(gates), ",")
+    return out.select("penalty", rounded("oof_ic", 5).alias("oof_ic"), "days", rounded("model", 5).alias("model"), rounded("anchor", 5).alias("anchor"), failures.alias("failures"), (failures == "").alias("published"))
+
+
 def verdict_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gates of every feature at one horizon: support, size, agreement of Validation; the first that fail, and a verdict."""
     rows = _frame(spark, sf_dir).select("entry_session", "research_partition", "trade_date", *[rounded(n).alias(n) for n in (*NAMES, "y_4")])
@@ -228,7 +249,7 @@ def feature_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    evaluation_frame, frame_funnel, univariate_screen, multi_partial_ic, redundancy_pipeline, date_folds, oof_predictions, ridge_walkforward, refit_validation, verdict_gates, qcut_decile, nested_expansion, perf_sharpe,
+    evaluation_frame, frame_funnel, univariate_screen, multi_partial_ic, redundancy_pipeline, date_folds, oof_predictions, ridge_walkforward, refit_validation, combination_run, verdict_gates, qcut_decile, nested_expansion, perf_sharpe,
     overlap_audit, vol_anchor, edge_day, day_levels, interactions_poi, interactions_fes, feature_gates,
 )
 QUERIES: dict[str, sql.Query] = {f.__name__: f for f in _ALL}
@@ -336,6 +357,14 @@ v AS (SELECT trade_date, round({_PREDICT}, 6) AS prediction, round(disp5, 6) AS
 k AS (SELECT trade_date, {rank('prediction', 'trade_date')} AS rp, {rank('anchor', 'trade_date')} AS ra, {rank('y', 'trade_date')} AS ry FROM v),
 g AS (SELECT trade_date, count(*) AS pairs, {_corr('rp', 'ry')} AS model, {_corr('ra', 'ry')} AS anchor FROM k GROUP BY 1 HAVING count(*) >= 10)
 SELECT trade_date, pairs, {r('model')} AS model, {r('anchor')} AS anchor, {r('model - anchor')} AS delta FROM g WHERE model IS NOT NULL AND anchor IS NOT NULL""",
+    "combination_run": f"""{_scored(PENALTIES)}, fc AS (SELECT fold, pen, round({_corr('prediction', 'y')}, 9) AS ic FROM sc GROUP BY ALL), tb AS (SELECT pen, round(avg(ic), 9) AS mean_ic FROM fc GROUP BY 1), ch AS (SELECT pen, mean_ic FROM tb ORDER BY mean_ic DESC NULLS LAST, pen DESC LIMIT 1),
+al AS (SELECT * FROM ev WHERE disp5 IS NOT NULL AND clv IS NOT NULL), bw AS (SELECT *, 0 AS fold, true AS train FROM al WHERE research_partition = 'Development'), {_FIT.replace('su AS', 'sv AS').replace('sr AS', 'sw AS').replace('FROM bf', 'FROM bw').replace('FROM su)', 'FROM sv)')}, fv AS (SELECT *, {_COEF} FROM sw, ch),
+v AS (SELECT trade_date, round({_PREDICT}, 6) AS prediction, round(disp5, 6) AS anchor, round(y_4, 6) AS y FROM al, fv WHERE research_partition = 'Validation'),
+k AS (SELECT trade_date, {rank('prediction', 'trade_date')} AS rp, {rank('anchor', 'trade_date')} AS ra, {rank('y', 'trade_date')} AS ry FROM v),
+g AS (SELECT {_corr('rp', 'ry')} AS model, {_corr('ra', 'ry')} AS anchor FROM k GROUP BY trade_date HAVING count(*) >= 10),
+o AS (SELECT count(model) AS days, avg(model) AS model, avg(anchor) AS anchor FROM g),
+w AS (SELECT *, array_to_string(list_filter([CASE WHEN NOT coalesce(mean_ic > 0.02, false) THEN 'oof' END, CASE WHEN NOT coalesce(days >= 3, false) THEN 'days' END, CASE WHEN NOT coalesce(sign(model) = sign(mean_ic), false) THEN 'sign' END, CASE WHEN NOT coalesce(model > anchor, false) THEN 'beats_anchor' END], lambda x: x IS NOT NULL), ',') AS failures FROM o, ch)
+SELECT pen AS penalty, {r('mean_ic', 5)} AS oof_ic, days, {r('model', 5)} AS model, {r('anchor', 5)} AS anchor, failures, failures = '' AS published FROM w""",
     "verdict_gates": f"""{_EV}, j AS ({_ROUNDED}), {_screen('j', NAMES, (4,))}, w AS (SELECT feature, entry_session, max(dates) FILTER (research_partition = 'Development') AS dd, max(round(mean_ic, 9)) FILTER (research_partition = 'Development') AS di, max(round(mean_ic, 9)) FILTER (research_partition = 'Validation') AS vi FROM cells GROUP BY ALL),
 x AS (SELECT *, array_to_string(list_filter([CASE WHEN NOT coalesce(dd >= 10, false) THEN 'support' END, CASE WHEN NOT coalesce(abs(di) >= 0.03, false) THEN 'size' END, CASE WHEN NOT coalesce(sign(di) = sign(vi), false) THEN 'sign' END, CASE WHEN NOT coalesce(abs(vi) >= 0.5 * abs(di), false) THEN 'retention' END], lambda g: g IS NOT NULL), ',') AS failures FROM w)
 SELECT feature, entry_session, failures, CASE WHEN failures = '' THEN 'advance' WHEN failures IN ('sign', 'retention', 'sign,retention') THEN 'reject_validation' ELSE 'reject' END AS verdict FROM x""",

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import json
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidebars.functions.order import edges_of
 from tidebars.functions.windows import safe_div
-from tidebars.operators import evaluation, events, features, labels, trades
+from tidebars.operators import events, features, inference, labels, trades
 from tidebars.plans import sql
 from tidebars.plans.event_queries import _PASSAGE, _RETESTS, _SIGNALS, _swing, _zones
 from tidebars.plans.label_queries import _path
@@ -119,6 +116,36 @@ def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(at, ["product", "entry_bar"]).select("entry_bar", "entry_ts", "side", "exit_bar", "exit_reason", rounded("gross_r").alias("gross_r"))
 
 
+def strategy_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule's run with its integrity checks: trades that overlap, end before they start, or leave their session's rules."""
+    rows = _rule_trades(spark, sf_dir)
+    w = Window.partitionBy("rule", "product", "trade_date").orderBy("entry_bar")
+    rows = rows.withColumn("overlap", F.coalesce(c("entry_bar") <= F.lag("exit_bar").over(w), F.lit(False)))
+    return rows.groupBy("rule").agg(
+        F.count("*").alias("trades"), F.count_if("overlap").alias("overlapping"), F.count_if(c("exit_bar") < c("entry_bar")).alias("backward"), F.count_if(c("exit_bar") - c("entry_bar") >= events.HOLD).alias("too_long"),
+        F.count_if((c("exit_reason") == "stop") & (F.abs(c("gross_r") + 1) > 1e-9)).alias("wrong_stop"), rounded(F.avg("gross_r"), 5).alias("mean_r"),
+    )
+
+
+def max_stat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per partition, the best rule by daily Sharpe ratio and its p-value against the best of all rules: a day by rule matrix a group."""
+    import numpy as np
+    import pandas as pd
+
+    names = sorted(_SIGNALS)
+    daily = _rule_trades(spark, sf_dir).groupBy("research_partition", "trade_date").pivot("rule", names).agg(F.sum("gross_r")).na.fill(0.0)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = pdf.sort_values("trade_date")[names].to_numpy(float)
+        ratios = [inference.sharpe(m[:, i]) if len(m) > 1 else float("nan") for i in range(len(names))]
+        if np.isnan(ratios).all():
+            return pd.DataFrame([(pdf["research_partition"].iloc[0], len(m), None, None, None)], columns=["research_partition", "days", "rule", "sharpe", "p"])
+        best = int(np.nanargmax(ratios))
+        return pd.DataFrame([(pdf["research_partition"].iloc[0], len(m), names[best], ratios[best], inference.max_sharpe_p(m, best, 17))], columns=["research_partition", "days", "rule", "sharpe", "p"])
+
+    return daily.groupBy("research_partition").applyInPandas(run, "research_partition string, days long, rule string, sharpe double, p double")
+
+
 def paired_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily result of a candidate less that of its comparator; a day without trades is zero for either."""
     daily = _rule_trades(spark, sf_dir).where("rule IN ('follow_momentum', 'always_long')").groupBy("rule", "trade_date").agg(F.sum("gross_r").alias("r"))
@@ -296,7 +323,7 @@ def publish_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    policy_tails, agg_policy, signal_candidates, tsay_policy, verification_run, resimulate_independent, time_exit_r, cross_check_labels, policy_freeze, replay, paired_diff, break_legs, poi_tables, enrich_lineage, dedup_events,
+    policy_tails, agg_policy, signal_candidates, tsay_policy, verification_run, resimulate_independent, time_exit_r, cross_check_labels, policy_freeze, replay, strategy_run, max_stat, paired_diff, break_legs, poi_tables, enrich_lineage, dedup_events,
     population_variants, signal_buckets, candidate_policy_mask, paired_outcomes, poi_sequential, simulate_positions, nlargest, text_labels, verif_bars, point_lookup, day_read, labels_eval, sink_csv, sink_json, publish_dirs,
 )
 QUERIES: dict[str, sql.Query] = {f.__name__: f for f in _ALL}
@@ -365,7 +392,7 @@ SELECT research_partition, count(*) AS days, CAST(sum(n) AS BIGINT) AS trades, {
 p AS (SELECT q.*, round({' + '.join(f'{b} * {_Z(n)}' for n, b in BETA.items())}, 6) AS prediction FROM q, dv), g AS (SELECT session, quantile_cont(prediction, 0.8) AS gate FROM p WHERE research_partition = 'Development' GROUP BY 1)
 SELECT product, bar_id, session, {r('prediction', 5)} AS prediction, {r(_CLIP(*trades.SIGNAL_STOP))} AS stop_distance, {r(f'2 * {_CLIP(*trades.SIGNAL_STOP)}')} AS target_distance FROM p JOIN g USING (session) WHERE prediction >= gate""",
     "tsay_policy": f"{_recursive(_F)}, {_TAIL.format(source='f')}, {_OPPS}, {_exits('oc')}, {_walked('ex', 'product, trade_date')} SELECT decision_bar, side, exit_bar, exit_reason, {r('gross_r')} AS gross_r FROM tr",
-    "verification_run": f"{_F}, {_PASSAGE} SELECT 'equal' AS status, count(*) AS n FROM ex",
+    "verification_run": f"{_F}, {_PASSAGE} SELECT 'equal' AS status, count(*) AS n FROM ex HAVING count(*) > 0",
     "resimulate_independent": f"{_F}, {_PASSAGE} SELECT entry_bar, side, exit_bar, exit_reason, {r('gross_r')} AS gross_r FROM ex",
     "time_exit_r": f"""{_F}, {_PASSAGE}, pb AS (SELECT op.product, op.decision_bar, op.side, op.research_partition, op.entry_price, op.risk, bool_or(CASE WHEN op.side = 1 THEN b.low <= op.stop ELSE b.high >= op.stop END) AS stopped, arg_max(b.close, b.bar_id) AS ec FROM op JOIN f b ON b.product = op.product AND b.bar_id BETWEEN op.entry_bar AND op.entry_bar + 7 AND b.trade_date = op.trade_date AND b.run_id = op.run_id GROUP BY ALL)
 SELECT research_partition, side, count(*) AS n, count(*) FILTER (CASE WHEN stopped THEN -1.0 ELSE side * (ec - entry_price) / nullif(risk, 0) END = -1) AS stopped, {r('avg(CASE WHEN stopped THEN -1.0 ELSE side * (ec - entry_price) / nullif(risk, 0) END)', 5)} AS mean_r FROM pb GROUP BY ALL""",
@@ -373,6 +400,8 @@ SELECT research_partition, side, count(*) AS n, count(*) FILTER (CASE WHEN stopp
     "policy_freeze": f"""{_RULE_TRADES}, s AS (SELECT rule AS policy, count(*) FILTER (research_partition = 'Development') AS dev_trades, count(*) FILTER (research_partition = 'Validation') AS val_trades, avg(gross_r) FILTER (research_partition = 'Development') AS dr, avg(gross_r) FILTER (research_partition = 'Validation') AS vr FROM tr GROUP BY 1)
 SELECT policy, dev_trades, val_trades, {r('dr + vr', 5)} AS score, CASE WHEN dr > 0 AND vr > 0 THEN 'frozen' WHEN dr > 0 THEN 'watch' ELSE 'rejected' END AS decision FROM s WHERE dev_trades >= 10 AND val_trades >= 10 ORDER BY round(dr + vr, 9) DESC, policy LIMIT 5""",
     "replay": f"{_RULE_TRADES} SELECT tr.entry_bar, b.bar_ts AS entry_ts, side, exit_bar, exit_reason, {r('gross_r')} AS gross_r FROM tr JOIN bars b ON b.product = tr.product AND b.bar_id = tr.entry_bar WHERE rule = 'follow_momentum' AND tr.trade_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-12'",
+    "strategy_run": f"""{_RULE_TRADES}, o AS (SELECT *, coalesce(entry_bar <= lag(exit_bar) OVER (PARTITION BY rule, product, trade_date ORDER BY entry_bar), false) AS overlap FROM tr)
+SELECT rule, count(*) AS trades, count(*) FILTER (overlap) AS overlapping, count(*) FILTER (exit_bar < entry_bar) AS backward, count(*) FILTER (exit_bar - entry_bar >= {events.HOLD}) AS too_long, count(*) FILTER (exit_reason = 'stop' AND abs(gross_r + 1) > 1e-9) AS wrong_stop, {r('avg(gross_r)', 5)} AS mean_r FROM o GROUP BY 1""",
     "paired_diff": f"{_RULE_TRADES}, d AS (SELECT trade_date, coalesce(sum(gross_r) FILTER (rule = 'follow_momentum'), 0.0) AS candidate, coalesce(sum(gross_r) FILTER (rule = 'always_long'), 0.0) AS comparator FROM tr WHERE rule IN ('follow_momentum', 'always_long') GROUP BY 1) SELECT trade_date, {r('candidate')} AS candidate, {r('comparator')} AS comparator, {r('candidate - comparator')} AS delta FROM d",
     "break_legs": f"{_B}, {_DETECTED} SELECT zone_id, swing_n, break_mode, leg_start, break_bar FROM dt",
     "poi_tables": f"{_B}, {_DETECTED} SELECT zone_id, direction, count(DISTINCT (break_mode, swing_n)) AS variants, min(swing_n) AS least_swing, max(swing_n) AS most_swing, bool_or(break_mode = 'close') AS by_close, bool_or(break_mode = 'wick') AS by_wick, first(break_mode || '/' || swing_n ORDER BY break_mode, swing_n DESC, break_bar) AS variant, first(break_bar ORDER BY break_mode, swing_n DESC, break_bar) AS break_bar FROM dt GROUP BY zone_id, product, trade_date, direction, middle_bar, zone_low, zone_high",
