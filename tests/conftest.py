@@ -10,6 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from tidebars.session import build_session
 
-    session = build_session("tests", shuffle_partitions=8)
+    session = build_session("tests", shuffle_partitions=4)
     yield session
     session.stop()
