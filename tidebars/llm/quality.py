@@ -85,7 +85,7 @@ def measures(rows: DataFrame) -> DataFrame:
 
 
 OWN = ("doc_id", "source", "text")
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed", "clean_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed", "clean_words", "clean_digest")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -94,30 +94,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"id": F.coalesce("doc_id", F.lit(-1).cast("long")), "row": F.xxhash64("doc_id", "source", "text")})
 
 
+def line_digest(line: Column) -> Column:
+    """The first 32 bits of a line's MD5; sums of them tell which lines a text has, in whatever order."""
+    return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
+
+
 def removed_words(rows: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
-    """id, row, removed, gone: words and hashes of each row's lines above the limit; only rows that have any."""
+    """id, row, removed, digest, gone: words, digests and hashes of each row's lines above the limit; only rows that have any."""
     text, host = F.coalesce("text", F.lit("")), F.coalesce("source", F.lit(""))
-    line = lambda x: _let(normalised(x), lambda y: F.struct(F.xxhash64(y).alias("line"), F.when(y == "", 0).otherwise(F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n")))
+    line = lambda x: _let(normalised(x), lambda y: F.struct(line_digest(x).alias("digest"), F.xxhash64(y).alias("line"), F.when(y == "", 0).otherwise(F.length(y) - F.length(F.replace(y, F.lit(" "), F.lit(""))) + 1).alias("n")))
     lines = rows.select("id", "row", host.alias("host"), F.xxhash64(text).alias("doc"), F.explode(F.transform(F.split(text, "\n", -1), line)).alias("l"))
-    real = lines.select("id", "row", "host", "doc", "l.line", "l.n").where("n > 0")
+    real = lines.select("id", "row", "host", "doc", "l.line", "l.n", "l.digest").where("n > 0")
     frequent = real.groupBy("host", "line").agg(F.count_distinct("doc").alias("docs")).where(F.col("docs") > line_docs).select("host", "line")
     # a frequent line is the hottest key there is: its rows are dealt to SALTS keys, to each of which it is sent
     real = real.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int"))
     frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = real.join(frequent, ["host", "line", "salt"]).groupBy("id", "row").agg(F.sum("n").alias("removed"), F.collect_set("line").alias("gone"))
+    hit = real.join(frequent, ["host", "line", "salt"]).groupBy("id", "row").agg(F.sum("n").alias("removed"), F.sum("digest").alias("digest"), F.collect_set("line").alias("gone"))
     # rows that repeat share a key: what their lines add up to is shared out among them
     count = rows.groupBy("id", "row").agg(F.count("*").alias("rows"))
-    return hit.join(count, ["id", "row"]).select("id", "row", (F.col("removed") / F.col("rows")).cast("long").alias("removed"), "gone")
+    return hit.join(count, ["id", "row"]).select("id", "row", *[(F.col(x) / F.col("rows")).cast("long").alias(x) for x in ("removed", "digest")], "gone")
 
 
 def _judged(docs: DataFrame, depleted: float, line_docs: int) -> DataFrame:
     """_keyed(docs) with the measures and gone, the hashes of the row's frequent lines (null if it has none)."""
     rows = _keyed(docs)
-    rows = measures(rows).join(removed_words(rows, line_docs), ["id", "row"], "left")
+    all_lines = F.aggregate(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_digest), F.lit(0).cast("long"), lambda a, b: a + b)
+    rows = measures(rows).withColumn("whole", all_lines).join(removed_words(rows, line_docs), ["id", "row"], "left")
     rows = rows.withColumn("removed", F.coalesce("removed", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("removed")
+    # what all lines come to is summed before the join, so a digest of the text left moves no text
     kept = ~F.col("base_failed") & (F.col("removed") <= depleted * F.col("n_words"))
-    return rows.withColumns({"clean_words": left, "kept": kept})
+    return rows.withColumns({"clean_words": left, "clean_digest": F.col("whole") - F.coalesce("digest", F.lit(0)), "kept": kept})
 
 
 def _without_lines() -> Column:
@@ -127,7 +134,7 @@ def _without_lines() -> Column:
 
 def judge(docs: DataFrame, depleted: float = DEPLETED, line_docs: int = LINE_DOCS) -> DataFrame:
     """Every row of docs, its text without lines above the limit, and MEASURES: of the text as it was, but for removed
-    (words of the lines taken out) and clean_words (words left)."""
+    (words of the lines taken out), clean_words (words left) and clean_digest (sum of the line digests of the text left)."""
     rows = _judged(docs, depleted, line_docs).withColumn("text", _without_lines())
     return restored(rows, docs, OWN, MEASURES)
 
@@ -140,4 +147,4 @@ def clean(docs: DataFrame, depleted: float = DEPLETED, line_docs: int = LINE_DOC
 
 def report(docs: DataFrame) -> DataFrame:
     out = judge(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source"))
-    return out.select("doc_id", *MEASURES, F.sha2(F.coalesce("text", F.lit("")), 256).alias("clean_sha256"))
+    return out.select("doc_id", *MEASURES)

@@ -114,9 +114,9 @@ norm AS (SELECT r.rid, r.p, r.l AS line, d.host, d.text, trim(regexp_replace(tra
 lines AS (SELECT rid, host, text, l, len(string_split(l, ' ')) AS n FROM norm WHERE l <> ''),
 frequent AS (SELECT host, l FROM (SELECT host, l, count(DISTINCT text) AS docs FROM lines GROUP BY host, l) WHERE docs > {quality.LINE_DOCS}),
 gone AS (SELECT rid, sum(n) AS n FROM lines JOIN frequent USING (host, l) GROUP BY rid),
-left_ AS (SELECT rid, string_agg(line, chr(10) ORDER BY p) AS t FROM norm ANTI JOIN frequent USING (host, l) GROUP BY rid),
+left_ AS (SELECT rid, sum(CAST(('0x' || substr(md5(line), 1, 8)) AS BIGINT)) AS digest FROM norm ANTI JOIN frequent USING (host, l) GROUP BY rid),
 m AS (
-  SELECT doc_id, sha256(coalesce(left_.t, '')) AS clean_sha256, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+  SELECT doc_id, coalesce(left_.digest, 0) AS digest, len(w) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
          length(text) - length(translate(text, '{quality.SYMBOLS}', '')) AS n_symbols,
          coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed
   FROM d LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN gone USING (rid) LEFT JOIN left_ USING (rid))
@@ -124,7 +124,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        n_words < {quality.MIN_WORDS} OR n_repeat_words > {quality.REPEAT_SHARE} * n_words AS base_failed,
        NOT (n_words < {quality.MIN_WORDS} OR n_repeat_words > {quality.REPEAT_SHARE} * n_words) AND removed <= {quality.DEPLETED} * n_words AS kept,
-       CAST(removed AS BIGINT) AS removed, CAST(n_words - removed AS BIGINT) AS clean_words, clean_sha256
+       CAST(removed AS BIGINT) AS removed, CAST(n_words - removed AS BIGINT) AS clean_words, CAST(digest AS BIGINT) AS clean_digest
 FROM m
 """
 
