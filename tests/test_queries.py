@@ -101,3 +101,37 @@ def test_intervals_have_2000_replicates(spark, name):
         assert np.allclose([row["lo"], row["hi"]], want, rtol=1e-12)
         if name == "bootstrap_ci":
             assert row["p"] == inference.bootstrap_p(own, 7, 2000)
+
+
+def test_stream_sessions_count_every_event(spark, tmp_path):
+    """Files whose times interleave, a gap of just six hours and one a microsecond shorter, events without a time or a user."""
+    import duckdb
+
+    from tidebars.plans import model_queries
+
+    odd = "(-1, TIMESTAMP '2024-01-01 00:00:00', 9001), (-2, TIMESTAMP '2024-01-01 06:00:00', 9001), (-3, TIMESTAMP '2024-01-01 11:59:59.999999', 9001), (-4, NULL, 9001), (-5, NULL, 9002), (-6, NULL, NULL), (-7, TIMESTAMP '1969-12-31 23:59:59', NULL)"
+    path = tmp_path / "events.parquet"
+    path.mkdir()
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT * FROM '{SF}/events.parquet' UNION ALL SELECT i, t, u, 'click', 1.0, '{{}}' FROM (VALUES {odd}) AS x(i, t, u)")
+    for i in range(3):
+        con.execute(f"COPY (SELECT * FROM events WHERE abs(event_id) % 3 = {i}) TO '{path}/part-{i}.parquet' (FORMAT parquet)")
+    got, want = comparable(model_queries.stream_sessions(spark, str(tmp_path)).toPandas()), comparable(con.execute(registry.oracle_sql()["stream_sessions"]).df())
+    assert want["events"].sum() == 1007
+    pd.testing.assert_frame_equal(got, want, check_dtype=False)
+
+
+def test_stream_tables_stay_out_of_the_driver(spark, tmp_path):
+    """Each batch's complete result is written by the executors and takes the place of the one before; the state goes, the session's settings stay."""
+    from tidebars.streaming import bars as streaming
+
+    rows = spark.read.parquet(f"{SF}/events.parquet")
+    rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    before = {k: spark.conf.get(k, None) for k in streaming.STATE}
+    out = streaming.run_to_table(streaming.bar_stream(streaming.tick_stream(spark, str(tmp_path)), 60))
+    files = out.inputFiles()
+    assert files and all(f.endswith(".parquet") and "/rows/2/" in f for f in files)  # three files, so batches 0, 1 and 2
+    assert out.agg({"volume": "sum"}).first()[0] == rows.count()
+    folder = files[0].removeprefix("file://").split("/rows/")[0]
+    assert os.listdir(folder) == ["rows"] and os.listdir(f"{folder}/rows") == ["2"]
+    assert {k: spark.conf.get(k, None) for k in streaming.STATE} == before
